@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import lines, simhash, substring
 
 QUERIES = {
+    "op4_substring_dedup": substring.op4,
+    "op8_line_dedup": lines.op8,
     "op6_simhash_near_dedup": simhash.op6,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_line_dedup": lines.OP8_SQL,
+}
