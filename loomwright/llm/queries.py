@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import lines, simhash, substring
+from . import licenses, lines, mixing, secrets, simhash, substring, toxicity
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2,
     "op4_substring_dedup": substring.op4,
-    "op8_line_dedup": lines.op8,
+    "op5_toxicity": toxicity.op5,
     "op6_simhash_near_dedup": simhash.op6,
+    "op7_source_mixing": mixing.op7,
+    "op8_line_dedup": lines.op8,
+    "op9_license_scan": licenses.op9,
 }
 
 SQL: dict[str, str] = {
+    "op2_secret_scan": secrets.OP2_SQL,
     "op8_line_dedup": lines.OP8_SQL,
 }
