@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def rows(batch: pa.RecordBatch, key: str, text: str) -> Iterator[tuple[int | None, bytes]]:
@@ -15,6 +17,16 @@ def rows(batch: pa.RecordBatch, key: str, text: str) -> Iterator[tuple[int | Non
         yield k, texts[i].as_py() or b""
 
 
+def small(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about limit bytes of text, one row at least, so that what is made from a slice stays small."""
+    for batch in batches:
+        if batch.num_rows:
+            part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) // limit
+            cut = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                yield batch.slice(lo, hi - lo)
+
+
 def open_fs(uri: str):
     """(file system, path) of a URI or an absolute path."""
     from pyarrow import fs

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..staging import fresh_dir
-from .arrow import open_fs, rows
+from .arrow import open_fs, rows, small
 
 NULL_ID = -(2**63)
 _INDEX = "shard int, sizes array<long>, bits binary, fingerprints binary, counts binary, keepers binary"
@@ -89,7 +89,7 @@ def _build(table: pa.Table) -> pa.Table:
 class Probe:
     """Lookups in the index table at a path; keeps up to cache_bytes of shards from one call to the next."""
 
-    def __init__(self, path: str, shards: int, cache_bytes: int = 64 << 20):
+    def __init__(self, path: str, shards: int, cache_bytes: int):
         fs, at = open_fs(path)
         self.data, self.shards = ds.dataset(at, filesystem=fs, format="parquet"), shards
         self.cache: dict | None = {}
@@ -130,7 +130,7 @@ class Probe:
 
 def _digests(least: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             ids, parts = [], []
             for i, text in rows(batch, "id", "text"):
                 own = {xxhash.xxh3_128_digest(key) for key in map(line_key, text.split(b"\n")) if _long(key, least)}
@@ -142,8 +142,8 @@ def _digests(least: int):
     return run
 
 
-def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, shard_keys: int = 250_000) -> tuple[str, int]:
-    """(path, shards) of the index table of lines with enough characters and documents."""
+def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, shard_keys: int = 250_000) -> tuple[str, int, int]:
+    """(path, shards, keys) of the index table of lines with enough characters and documents."""
     spark = docs.sparkSession
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     found = keyed.mapInArrow(_digests(least_chars), "h1 long, h2 long, id long")
@@ -151,18 +151,19 @@ def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = fresh_dir(spark, "frequent_lines")
     counted.write.parquet(held)
     counted = spark.read.parquet(held)
-    shards = max(64, math.ceil(counted.count() / shard_keys))
+    keys = counted.count()
+    shards = max(64, math.ceil(keys / shard_keys))
     # h1 modulo shards, as of an unsigned number
     shard = F.pmod(F.pmod(F.shiftrightunsigned("h1", 1), F.lit(shards)) * 2 + F.col("h1").bitwiseAND(F.lit(1)), F.lit(shards)).cast("int")
     path = fresh_dir(spark, "line_index")
     counted.select(shard.alias("shard"), "h1", "h2", "n", "keeper").groupBy("shard").applyInArrow(_build, _INDEX).write.parquet(path)
-    return path, shards
+    return path, shards, keys
 
 
-def _drop(path: str, shards: int, least: int):
+def _drop(path: str, shards: int, least: int, cache_bytes: int, slice_bytes: int):
     def run(batches):
-        probe = Probe(path, shards)
-        for batch in batches:
+        probe = Probe(path, shards, cache_bytes)
+        for batch in small(batches, limit=slice_bytes):
             texts, owner, at, parts = [], [], [], []
             for i, (_, text) in enumerate(rows(batch, "id", "text")):
                 texts.append(text.split(b"\n"))
@@ -188,7 +189,7 @@ def _drop(path: str, shards: int, least: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), least_chars: int = 20, least_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), least_chars: int = 20, least_docs: int = 3, cache_bytes: int = 64 << 20) -> DataFrame:
     """(id, n_lines, n_dropped, text) of each row, with the columns of carry as c0, c1 and so on.
 
     Texts are split at U+000A; a null or empty text is one empty line. A line whose key (see line_key) has at
@@ -196,11 +197,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document with the largest id that holds it. Rows that share an id count as one document; a null id
     counts as smallest, and all rows with a null id as one document. If all lines go, the text is empty.
     """
-    path, shards = line_index(docs, id_col, text_col, least_chars, least_docs)
+    path, shards, keys = line_index(docs, id_col, text_col, least_chars, least_docs)
     columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))]
     taken = docs.select(columns)
+    cached = 48 * keys < cache_bytes  # else every slice reads the index, so slices are larger
     types = reduce(lambda s, f: f"{s}, {f.name} {f.dataType.simpleString()}", taken.schema.fields[2:], "id long, n_lines long, n_dropped long, text string")
-    return taken.mapInArrow(_drop(path, shards, least_chars), types)
+    return taken.mapInArrow(_drop(path, shards, least_chars, cache_bytes, 4 << 20 if cached else 64 << 20), types)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ def test_odd_rows(spark):
 
 def test_index_larger_than_the_cache(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    path, shards = lines.line_index(docs)
-    small, large = lines.Probe(path, shards, cache_bytes=1), lines.Probe(path, shards)
+    path, shards, _ = lines.line_index(docs)
+    small, large = lines.Probe(path, shards, cache_bytes=1), lines.Probe(path, shards, cache_bytes=1 << 26)
     keys = np.concatenate([np.zeros(3, np.uint64), *(p[1][1] for p in large._load())])
     for _ in range(2):
         a, b = small.find(keys, keys[::-1]), large.find(keys, keys[::-1])
