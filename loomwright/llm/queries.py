@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, lines, mixing, secrets, simhash, substring, toxicity
+from . import decontaminate, licenses, lines, mixing, secrets, simhash, substring, toxicity
 
 QUERIES = {
     "op2_secret_scan": secrets.op2,
+    "op3_decontaminate": decontaminate.op3,
     "op4_substring_dedup": substring.op4,
     "op5_toxicity": toxicity.op5,
     "op6_simhash_near_dedup": simhash.op6,
@@ -16,5 +17,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_secret_scan": secrets.OP2_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_line_dedup": lines.OP8_SQL,
 }
