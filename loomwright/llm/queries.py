@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, mixing, secrets, simhash, substring, toxicity
+from . import decontaminate, licenses, lines, mixing, secrets, simhash, substring, topk, toxicity, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op2_secret_scan": secrets.op2,
     "op3_decontaminate": decontaminate.op3,
     "op4_substring_dedup": substring.op4,
@@ -13,10 +14,13 @@ QUERIES = {
     "op7_source_mixing": mixing.op7,
     "op8_line_dedup": lines.op8,
     "op9_license_scan": licenses.op9,
+    "op10_top_k": topk.op10,
 }
 
 SQL: dict[str, str] = {
+    "op1_warc": warc.OP1_SQL,
     "op2_secret_scan": secrets.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op8_line_dedup": lines.OP8_SQL,
+    "op10_top_k": topk.OP10_SQL,
 }
