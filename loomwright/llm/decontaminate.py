@@ -59,7 +59,8 @@ def _with_windows(df: DataFrame, n: int, w: int) -> DataFrame:
     return df.withColumn(f"m{n}", F.transform(_indices(F.size("words") - (n - 1)), lambda i: F.least(*[F.get("g", i + j) for j in range(w)])))
 
 
-def _key(id_col: str, text_col: str) -> list[Column]:
+def key_of(id_col: str, text_col: str) -> list[Column]:
+    """Columns that tell documents apart: the id, the smallest long for null, and the text's XXH64."""
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text_col).alias("th")]
 
 
@@ -82,19 +83,15 @@ def benchmark_windows(items: DataFrame, window: int = 10, item_col: str = "item_
     return lengths, stage(out.distinct(), "benchmark_windows")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, th, n_words, n_hit, items) of every row of docs.
+def leaky_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Staged (key, th, n_hit, items) of the documents that have a benchmark window; see find_leaks.
 
-    n_hit is the number of words that lie in an occurrence of a benchmark window, items the sorted array of
-    the items, as strings, that have one. th is the XXH64 of the text; with the id it tells rows apart, and
-    equal rows get equal results. Null and empty texts have no words. Null items and items without words
-    match nothing. Rows with a null id keep it. Other columns are not read.
+    key is the id, the smallest long for null.
     """
     lengths, bench = benchmark_windows(items, window, item_col, item_text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), *_key(id_col, text_col), F.coalesce(F.regexp_count(text_col, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
     if not lengths:
-        return base.select("id", "th", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    keyed = docs.select(*_key(id_col, text_col), F.col(text_col).alias("text"))
+        return docs.sparkSession.createDataFrame([], "key long, th long, n_hit long, items array<string>")
+    keyed = docs.select(*key_of(id_col, text_col), F.col(text_col).alias("text"))
     minima = with_minima(keyed.select("key", "th", words(F.col("text")).alias("words")), lengths)
     every = F.array_distinct(F.concat(*[F.col(f"m{n}") for n in lengths]))
     prints = minima.select("key", "th", F.explode(every).alias("fp"))
@@ -116,11 +113,30 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
     n_hit = found.groupBy("key", "th").agg(covered.alias("n_hit"))
     of_items = found.join(bench.select("span", F.col("item").cast("string").alias("item")), "span").where("item is not null")
     named = of_items.select("key", "th", "item").distinct().groupBy("key", "th").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    result = stage(n_hit.join(named, ["key", "th"], "left"), "leaky_documents")
-    out = base.join(result, ["key", "th"], "left")
+    return stage(n_hit.join(named, ["key", "th"], "left"), "leaky_documents")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, th, n_words, n_hit, items) of every row of docs.
+
+    n_hit is the number of words that lie in an occurrence of a benchmark window, items the sorted array of
+    the items, as strings, that have one. th is the XXH64 of the text; with the id it tells rows apart, and
+    equal rows get equal results. Null and empty texts have no words. Items without words match nothing; a null
+    item id is not listed. Rows with a null id keep it. Other columns are not read.
+    """
+    leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), *key_of(id_col, text_col), F.coalesce(F.regexp_count(text_col, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    out = base.join(leaky, ["key", "th"], "left")
     return out.select("id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, that have no benchmark window."""
+    leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col).select("key", "th").alias("leaky")
+    key, th = key_of(id_col, text_col)
+    return docs.alias("d").join(leaky, (key == F.col("leaky.key")) & (th == F.col("leaky.th")), "left_anti").select("d.*")
+
+
 def _with_spans(df: DataFrame, n: int) -> DataFrame:
     """df with s<n>: (i, n, span) of the windows whose fingerprint is in fps."""
     at = F.filter(_indices(F.size(f"m{n}")), lambda i: F.array_contains(F.col("fps"), F.get(f"m{n}", i)))

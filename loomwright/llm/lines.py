@@ -10,7 +10,6 @@ are shuffled for the lookup, and a task holds no more than a fixed number of byt
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -201,7 +200,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry))]
     taken = docs.select(columns)
     cached = 48 * keys < cache_bytes  # else every slice reads the index, so slices are larger
-    types = reduce(lambda s, f: f"{s}, {f.name} {f.dataType.simpleString()}", taken.schema.fields[2:], "id long, n_lines long, n_dropped long, text string")
+    types = "id long, n_lines long, n_dropped long, text string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in taken.schema.fields[2:])
     return taken.mapInArrow(_drop(path, shards, least_chars, cache_bytes, 4 << 20 if cached else 64 << 20), types)
 
 
