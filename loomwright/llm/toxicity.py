@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrow import rows
+from .arrow import rows, small
 
 BUCKET_BITS, DIM, SEGMENT, GRAMS = 18, 8, 8, (3, 4, 5)
 BUCKETS = 1 << BUCKET_BITS
@@ -183,29 +183,32 @@ def is_training(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 1500, other_rows: int = 3000, row_chars: int = 4000) -> Model:
     """Train on a bounded sample of labelled rows.
 
-    The sample is of the labelled training rows (see is_training) with a text of at most row_chars
-    characters: up to toxic_rows with label 1 and other_rows with label 0, those with the smallest hash of
-    the id. Other labels, and rows with a null id or text, are left out. An id labelled more than once counts
-    as toxic if any of its labels does.
+    The sample is of the labelled training rows (see is_training). Of label 1 the 2 * toxic_rows ids with the
+    smallest hash are looked up, of label 0 the 2 * other_rows; of these, up to toxic_rows and other_rows
+    are used, among the rows whose text has at most row_chars characters. Other labels, and rows with a null
+    id or text, are left out. An id labelled more than once counts as toxic if any of its labels does.
     """
-    label = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    text = docs.where(is_training(F.col(id_col)) & (F.length(text_col) <= row_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = text.join(label.where(is_training(F.col("id"))), "id").select("text", "y", F.xxhash64("id").alias("h"), "id")
-    parts = [found.where(F.col("y") == y).orderBy("h", "id", "text").limit(n).collect() for y, n in ((1, toxic_rows), (0, other_rows))]
-    sample = sorted((r for part in parts for r in part), key=lambda r: (r.h, r.id, r.text))
+    seen = labels.where(F.col(label_col).isin(0, 1) & is_training(F.col(id_col)))
+    seen = seen.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).withColumn("h", F.xxhash64("id"))
+    chosen = [seen.where(F.col("y") == y).orderBy("h", "id").limit(2 * n) for y, n in ((1, toxic_rows), (0, other_rows))]
+    text = docs.where(F.length(text_col) <= row_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = F.broadcast(chosen[0].union(chosen[1]))  # 2 * (toxic_rows + other_rows) rows at most
+    found = sorted(text.join(ids, "id").collect(), key=lambda r: (r.h, r.id, r.text))
+    sample = [[r for r in found if r.y == y][:n] for y, n in ((1, toxic_rows), (0, other_rows))]
+    sample = sorted(sample[0] + sample[1], key=lambda r: (r.h, r.id, r.text))
     return train([r.text.encode() for r in sample], [r.y for r in sample])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns tox_id and tox_score alone, a row for each of its rows: the model's score of the whole text, from 0 to 1.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(tox_id, tox_score) of every row, with the columns of carry as c0, c1 and so on: the model's score of the whole text, from 0 to 1.
 
-    Null and empty texts score as the model's bias.
+    Null and empty texts score as the model's bias; repeated rows score alike.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
 
     def run(batches):
         known = Known(held.value.weight)
-        for batch in batches:
+        for batch in small(batches):
             ids, texts, out, size = [], [], [], 0
             for i, text in rows(batch, "id", "text"):
                 ids.append(i)
@@ -218,8 +221,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out.append(held.value.scores(texts, known))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0)), *batch.columns[2:]], ["tox_id", "tox_score", *batch.schema.names[2:]])
 
-    taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return taken.mapInArrow(run, "tox_id long, tox_score double")
+    taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in taken.schema.fields[2:])
+    return taken.mapInArrow(run, "tox_id long, tox_score double" + extra)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
