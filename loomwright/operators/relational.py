@@ -14,7 +14,7 @@ def keep_or_exclude(df: DataFrame, filters: Mapping[str, Mapping]) -> DataFrame:
     """
     for name, rule in filters.items():
         values = [v for v in rule["values"] if v is not None]
-        member = F.coalesce(F.col(name).isin(values), F.lit(None in rule["values"]))
+        member = F.when(F.col(name).isNull(), F.lit(None in rule["values"])).otherwise(F.col(name).isin(values))
         df = df.where(member if rule["mode"] == "keep" else ~member)
     return df
 
