@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import uuid
 import zlib
 
@@ -139,12 +140,16 @@ def _read(folder: str, gap: int, span: int, with_payload: bool):
     return run
 
 
-def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, span: int = 4 << 20, region: int = 16 << 20, with_payload: bool = True) -> DataFrame:
+def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, span: int = 4 << 20, region: int = 16 << 20, with_payload: bool = True, task_bytes: int = 64 << 20) -> DataFrame:
     """The records of the rows of index: page_id, url, record_type, payload_digest, payload_bytes, payload, refers_to.
 
-    Reads skip at most gap bytes and take at most span, or one record. Payloads are checked against their digests.
+    Reads skip at most gap bytes and take at most span, or one record. Payloads are checked against their
+    digests. The number of tasks follows the bytes to be read, of which the index's own size says nothing.
     """
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / region)).sortWithinPartitions("file", "offset")
+    spark = index.sparkSession
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / task_bytes))
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / region)).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_read(folder, gap, span, with_payload), "page_id long, url string, record_type string, payload_digest string, payload_bytes long, payload binary, refers_to long")
 
 
