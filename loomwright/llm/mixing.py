@@ -138,8 +138,9 @@ class Mix:
         shards = math.ceil(slots / max(shard_slots, math.ceil(slots / 4096)))
         spread = spark.range(shards).select(F.col("id").alias("shard"), (F.floor((F.col("id") + 1) * slots / shards) - F.floor(F.col("id") * slots / shards)).alias("n"))
         drawn = stage(spread.mapInArrow(_draw(expected, seed), "shard long, s long, slots long"), "draws")  # a row a shard and source
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(slots / (1 << 20)))  # by the slots, not by the few rows they come from
         before = F.sum("slots").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-        placed = drawn.withColumn("before", F.coalesce(before, F.lit(0))).repartition("shard", "s").mapInArrow(_place(blocks, limit, seed), "shard long, slot long, s long, pass long, block long")
+        placed = drawn.withColumn("before", F.coalesce(before, F.lit(0))).repartition(tasks, "shard", "s").mapInArrow(_place(blocks, limit, seed), "shard long, slot long, s long, pass long, block long")
         first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
         cut = self.documents.where("size > 0").select("s", "at", "id", "size", F.explode(F.sequence(first, last)).alias("block"))
         lo = F.greatest(F.col("at"), F.col("block") * block_words)
