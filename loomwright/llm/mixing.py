@@ -146,12 +146,13 @@ class Mix:
         lo = F.greatest(F.col("at"), F.col("block") * block_words)
         hi = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
         held = cut.select("s", "block", "at", "id", (lo - F.col("at")).alias("first"), (hi - lo).alias("n"))
-        self.pieces = placed.join(held, ["s", "block"]).select("shard", "slot", "s", "pass", "block", "at", "id", "first", "n")
+        # the slots come from few drawn rows, from which Spark would take them for small and broadcast them
+        self.pieces = placed.join(held.hint("merge"), ["s", "block"]).select("shard", "slot", "s", "pass", "block", "at", "id", "first", "n")
 
     def taken(self) -> DataFrame:
         """documents with taken: words of the document that the mix has, repeats counted."""
         sums = self.pieces.groupBy("s", "at", "id").agg(F.sum("n").alias("taken"))
-        known = self.documents.alias("d").join(sums.alias("t"), (F.col("d.s") == F.col("t.s")) & (F.col("d.at") == F.col("t.at")) & F.col("d.id").eqNullSafe(F.col("t.id")), "left")
+        known = self.documents.alias("d").join(sums.alias("t").hint("merge"), (F.col("d.s") == F.col("t.s")) & (F.col("d.at") == F.col("t.at")) & F.col("d.id").eqNullSafe(F.col("t.id")), "left")
         return known.select("d.*", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
 
     def texts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
