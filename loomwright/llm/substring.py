@@ -39,7 +39,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _hashes(words: list[bytes]) -> np.ndarray:
     out = np.empty(len(words), object)
     out[:] = words
-    return pd.util.hash_array(out, categorize=True)
+    return pd.util.hash_array(out, categorize=False)
+
+
+def _offsets(text: bytes) -> np.ndarray:
+    """Where the words of a text with one space between words start, and where one more would."""
+    return np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1, [len(text) + 1]])
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
@@ -113,7 +118,7 @@ def _split(k: int, m: int, buckets: int, chunk_bytes: int):
             if not len(first):
                 continue
             text = b" ".join(words)
-            offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+            offset = _offsets(text)
             strings = [text[a:b] for a, b in zip(offset[first].tolist(), (offset[last + k] - 1).tolist(), strict=True)]
             at = doc[first]
             start = first - base[at]
@@ -146,7 +151,8 @@ def _repeated(strings: list[bytes], meta: np.ndarray, k: int) -> np.ndarray:
     """(id, th, first, last) of the runs of windows that also start earlier; meta has id, th, start and words of each string."""
     order = np.lexsort((meta[2], meta[1], meta[0]))
     ids, ths, start, n = meta[:, order]
-    words = b" ".join([strings[i] for i in order.tolist()]).split()
+    text = b" ".join([strings[i] for i in order.tolist()])
+    words = text.split()
     ends = np.cumsum(n)
     inside = np.arange(len(words)) - np.repeat(ends - n, n)
     window = np.flatnonzero(inside <= np.repeat(n, n) - k)
@@ -158,8 +164,7 @@ def _repeated(strings: list[bytes], meta: np.ndarray, k: int) -> np.ndarray:
     head = by_hash[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
     later = ~opens
     member, head = by_hash[later], head[later]
-    text = b" ".join(words)
-    offset = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    offset = _offsets(text)
     lo, hi = offset[window], offset[window + k]
     equal = np.fromiter((text[a:b] == text[c:d] for a, b, c, d in zip((lo[member]).tolist(), (hi[member] - 1).tolist(), lo[head].tolist(), (hi[head] - 1).tolist(), strict=True)), bool, len(member))
     key = np.stack([ids[owner], start[owner] + inside[window]])
