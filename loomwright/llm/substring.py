@@ -132,7 +132,7 @@ def _split(k: int, m: int, buckets: int, chunk_bytes: int):
             travel = travel[np.argsort(bucket[travel], kind="stable")]
             for part in np.split(travel, np.flatnonzero(np.diff(bucket[travel])) + 1):
                 if len(part):
-                    packed = zstandard.compress(b"\n".join([strings[i] for i in part.tolist()]), 3)
+                    packed = zstandard.compress(b"\n".join([strings[i] for i in part.tolist()]), 6)
                     a = at[part]
                     out.append((int(bucket[part[0]]), len(part), packed, _pack([ids[a], ths[a], start[part], last[part] - first[part] + k])))
             known = np.flatnonzero(again)
