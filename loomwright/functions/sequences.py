@@ -14,6 +14,11 @@ RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 RESIDUE_VOCABULARY = {t: i for i, t in enumerate(["<PAD>", "<MASK>", "<CLS>", "<SEP>", "<UNK>", *"ABCDEFGHIKLMNOPQRSTUVWXYZ", "<START>", "<STOP>", "-"])}
 
 
+#: Average masses of the residues, of water, and of the change from acid to amide at the end.
+RESIDUE_MASS = {"A": 71.0788, "C": 103.1388, "D": 115.0886, "E": 129.1155, "F": 147.1766, "G": 57.0519, "H": 137.1411, "I": 113.1594, "K": 128.1741, "L": 113.1594, "M": 131.1926, "N": 114.1038, "P": 97.1167, "Q": 128.1307, "R": 156.1875, "S": 87.0782, "T": 101.1051, "V": 99.1326, "W": 186.2132, "Y": 163.1760}
+WATER_MASS, AMIDE_MASS = 18.01528, -0.98476
+
+
 def lookup(values: Mapping) -> Column:
     """A map column of the values of a dict."""
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
@@ -177,3 +182,20 @@ def best_tokens(logits: Column, vocabulary: list[str], eos: str = "<eos>") -> Co
     stop = F.array_position(tokens, eos)
     upto = F.when(stop > 0, F.slice(tokens, 1, (stop - 1).cast("int"))).otherwise(tokens)
     return F.array_join(F.filter(upto, lambda t: ~t.startswith("<")), "")
+
+
+def molecular_weight(s: Column, amide: bool = True) -> Column:
+    """Average mass of a peptide; null if a letter is not one of the twenty residues."""
+    masses = F.transform(characters(s), lambda c: F.element_at(lookup(RESIDUE_MASS), c))
+    ends = F.lit(WATER_MASS + (AMIDE_MASS if amide else 0.0))
+    return F.when(is_valid(s), F.aggregate(masses, ends, lambda total, m: total + m))
+
+
+def mix_vectors(vectors: Column, others: Column, key: Column, p: float, weight: float = 0.2, seed: int = 0) -> Column:
+    """Token vectors, each replaced with probability p by a mean of itself and, at the weight, one of others."""
+
+    def one(v: Column, i: Column) -> Column:
+        other = F.get(others, F.pmod(_draw(seed, key, i, "other"), F.size(others)).cast("int"))
+        return F.when(_draw(seed, key, i, "mix") < int(p * (1 << 32)), F.zip_with(v, other, lambda x, y: x * (1 - weight) + y * weight)).otherwise(v)
+
+    return F.transform(vectors, one)

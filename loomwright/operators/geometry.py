@@ -125,3 +125,17 @@ def spatial_crop(points: DataFrame, complex_col: str, chain: str, order: str, si
     d = F.sqrt(sum(((F.col(c) - F.col(f"at.{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
     rank = F.row_number().over(Window.partitionBy(complex_col).orderBy(F.coalesce(d, F.lit(0.0)), order, chain))
     return joined.withColumn("_rank", rank).where(F.col("_rank") <= size).select(*points.columns)
+
+
+def flexible_superpose(moving: DataFrame, fixed: DataFrame, complex_col: str, order: str, letter: str, least_run: int = 8, **scores) -> DataFrame:
+    """superpose() of the residues that an alignment of the sequences puts together, in runs of at least least_run.
+
+    order numbers a chain's residues from 0; complexes are paired by name. A complex without such a run has no fit.
+    """
+    from .metrics import place_aligner
+
+    text = lambda df, name: df.groupBy(F.col(complex_col).alias("_c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, letter))), lambda r: r[letter]), "").alias(name))
+    both = text(moving, "_a").join(text(fixed, "_b"), "_c")
+    places = stage(both.select("_c", F.explode(place_aligner(least_run, **scores)("_a", "_b")).alias("p")).select("_c", "p.a", "p.b"), "places")
+    numbered = lambda df, at: df.select(F.col(complex_col).alias("_c"), F.col(order).alias(at), "x", "y", "z").join(places, ["_c", at]).select(F.col("_c").alias(complex_col), F.col("a").alias("_at"), "x", "y", "z")
+    return superpose(numbered(moving, "a"), numbered(fixed, "b"), complex_col, "_at")

@@ -127,3 +127,36 @@ def antibodies(summary: DataFrame, order: str = "row_idx") -> DataFrame:
     at = F.row_number().over(Window.partitionBy("pdb").orderBy(order)) - 1
     known = summary.withColumn("index_within_pdb", at).where("model = 0 and Hchain is not null and Lchain is not null")
     return known.select(F.col("pdb").alias("pdb_id"), "index_within_pdb", F.col("Lchain").alias("light"), F.col("Hchain").alias("heavy"), F.col("antigen_chain").alias("antigen"))
+
+
+def pseudo_beta(atoms: DataFrame) -> DataFrame:
+    """The CB atom of each residue, the CA atom of glycine."""
+    return atoms.where(((F.col("res_name") == "GLY") & (F.col("atom_name") == "CA")) | ((F.col("res_name") != "GLY") & (F.col("atom_name") == "CB")))
+
+
+def numbered_domains(lines: DataFrame) -> DataFrame:
+    """(file, heavy, light) of antibody numbering output, rows of (file, row_idx, line): the residues of lines that start with H or L, gaps and comments aside."""
+    part = lambda k: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.struct("row_idx", "kind", "residue")), lambda r: r["kind"] == k)), lambda r: r["residue"]), "")
+    known = lines.where("trim(line) <> '' and not line like '#%'").select("file", "row_idx", F.substring("line", 1, 1).alias("kind"), F.element_at(F.split(F.trim("line"), r"\s+"), -1).alias("residue"))
+    return known.where("residue <> '-'").groupBy("file").agg(part("H").alias("heavy"), part("L").alias("light"))
+
+
+def cif_lines(atoms: DataFrame) -> DataFrame:
+    """(file, model, serial, line): rows of an atom_site loop with the columns of CIF_COLUMNS."""
+    bare = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("."))
+    name = F.when(F.col("atom_name").contains("'"), F.concat(F.lit('"'), "atom_name", F.lit('"'))).otherwise(bare("atom_name"))
+    fields = [F.when(F.col("hetero"), "HETATM").otherwise("ATOM"), F.col("serial").cast("string"), bare("element"), name, bare("res_name"), bare("chain_id"), bare("res_seq"), bare("i_code"), *[F.format_string("%.3f", c) for c in "xyz"], F.format_string("%.2f", F.coalesce("occupancy", F.lit(1.0))), F.format_string("%.2f", F.coalesce("b_factor", F.lit(0.0))), bare("res_seq"), bare("res_name"), bare("chain_id"), (F.col("model") + 1).cast("string")]
+    return atoms.select("file", "model", "serial", F.concat_ws(" ", *fields).alias("line"))
+
+
+#: Columns of an atom_site loop, in the order of cif_lines.
+CIF_COLUMNS = ("group_PDB", "id", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "label_seq_id", "pdbx_PDB_ins_code", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "B_iso_or_equiv", "auth_seq_id", "auth_comp_id", "auth_asym_id", "pdbx_PDB_model_num")
+
+
+def write_mmcif(atoms: DataFrame, path: str) -> None:
+    """A folder entry=<name>/ of mmCIF text for each file. A file's atoms fit one row."""
+    head = "loop_\n" + "".join(f"_atom_site.{c}\n" for c in CIF_COLUMNS)
+    whole = cif_lines(atoms).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("model", "serial", "line"))).alias("rows"))
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    text = F.concat(F.lit("data_"), name, F.lit("\n" + head), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n#"))
+    whole.select(name.alias("entry"), text.alias("value")).write.mode("overwrite").partitionBy("entry").text(path)

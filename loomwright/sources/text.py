@@ -110,3 +110,24 @@ def label_from_name(path: Column) -> Column:
 def with_source(df: DataFrame) -> DataFrame:
     """df, a file scan, with the file of each row."""
     return df.withColumn("source_file", F.col("_metadata.file_path"))
+
+
+def read_labelled_fasta(spark: SparkSession, labels: dict[str, dict]) -> DataFrame:
+    """The records of several FASTA files, each with constant columns: {path: {column: value}}; columns a file lacks are null."""
+    out = None
+    for path, values in labels.items():
+        part = read_fasta(spark, path).withColumns({c: F.lit(v) for c, v in values.items()})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def write_index(records: DataFrame, path: str, key: str = "id", partitions: int = 8) -> DataFrame:
+    """Records as Parquet sorted by key, the first of each key; read_key() then reads few row groups."""
+    first = records.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*records.columns), "row_idx").alias("r")).select("r.*")
+    first.repartitionByRange(partitions, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    return records.sparkSession.read.parquet(path)
+
+
+def read_key(index: DataFrame, value: str, key: str = "id") -> DataFrame:
+    """The record of a key, or no row; the condition reaches the Parquet scan."""
+    return index.where(F.col(key) == value)
