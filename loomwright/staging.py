@@ -30,7 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     """A path below the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/loomwright/{uuid.uuid4().hex}/{tag}"
+    return f"{_session_dir(spark)}/{uuid.uuid4().hex}/{tag}"
+
+
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/loomwright/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this session has staged; tables and results that depend on it can be read no more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
