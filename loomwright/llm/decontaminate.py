@@ -2,9 +2,9 @@
 
 Of each window of w consecutive k-gram hashes the smallest is kept as a fingerprint, so that texts that share
 k + w - 1 words in a row share a fingerprint. With k + w - 1 set to the length of a benchmark window, no shared
-window can be missed. Documents that share a fingerprint with the benchmark are joined with their texts
-again; there, each such hit is extended to the whole window of words, and joined with the benchmark's windows on
-the words themselves.
+window can be missed. The benchmark's fingerprints are also set in a bit table of bounded size, a constant of the
+plan: where a document's fingerprint may be among them, the hit is extended to its whole window of words on the spot.
+These windows, and not the texts, are then joined with the benchmark's on fingerprint and words.
 """
 
 from __future__ import annotations
@@ -83,6 +83,39 @@ def benchmark_windows(items: DataFrame, window: int = 10, item_col: str = "item_
     return lengths, stage(out.distinct(), "benchmark_windows")
 
 
+class BitTable:
+    """Which of 64-bit hashes may be in a set: a Bloom filter of at most MOST_BITS bits, as a foldable array of longs.
+
+    With more hashes than it is made for it lets more others pass, and still every one of the set.
+    """
+
+    PROBES, PER_HASH, MOST_BITS = (0, 14, 28, 42), 16, 1 << 24
+
+    def __init__(self, hashes: DataFrame, column: str):
+        bits = 1 << max(12, (hashes.count() * self.PER_HASH - 1).bit_length())
+        self.words = min(bits, self.MOST_BITS) // 64
+        at = F.explode(F.array(*[self._place(F.col(column), shift) for shift in self.PROBES])).alias("at")
+        set_bits = hashes.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))).alias("bits"))
+        table = [0] * self.words
+        for r in set_bits.collect():  # a row a word
+            table[r.word] = r.bits
+        self.table = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+    def _place(self, h: Column, shift: int) -> Column:
+        return F.shiftright(h, shift).bitwiseAND(F.lit(64 * self.words - 1).cast("long"))
+
+    def may_have(self, h: Column) -> Column:
+        def one(shift: int) -> Column:
+            at = self._place(h, shift)
+            word = F.get(self.table, F.shiftright(at, 6).cast("int"))
+            return F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+        out = one(self.PROBES[0])
+        for shift in self.PROBES[1:]:
+            out = out & one(shift)
+        return out
+
+
 def leaky_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Staged (key, th, n_hit, items) of the documents that have a benchmark window; see find_leaks.
 
@@ -91,19 +124,13 @@ def leaky_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
     lengths, bench = benchmark_windows(items, window, item_col, item_text_col)
     if not lengths:
         return docs.sparkSession.createDataFrame([], "key long, th long, n_hit long, items array<string>")
-    keyed = docs.select(*key_of(id_col, text_col), F.col(text_col).alias("text"))
-    minima = with_minima(keyed.select("key", "th", words(F.col("text")).alias("words")), lengths)
-    every = F.array_distinct(F.concat(*[F.col(f"m{n}") for n in lengths]))
-    prints = minima.select("key", "th", F.explode(every).alias("fp"))
-    known = stage(bench.select("fp").distinct(), "benchmark_fingerprints")
-    hits = stage(prints.join(known, "fp", "left_semi").groupBy("key", "th").agg(F.collect_set("fp").alias("fps")), "fingerprint_hits")
-    near = keyed.join(hits, ["key", "th"]).select("key", "th", "fps", words(F.col("text")).alias("words"))
-    near = with_minima(near, lengths)
+    known = BitTable(bench.select("fp").distinct(), "fp")
+    near = with_minima(docs.select(*key_of(id_col, text_col), words(F.col(text_col)).alias("words")), lengths)
     for n in lengths:
-        near = _with_spans(near, n)
-    extended = near.select("key", "th", F.explode(F.concat(*[F.col(f"s{n}") for n in lengths])).alias("s")).select("key", "th", "s.i", "s.n", "s.span")
-    spans = stage(bench.select("span").distinct(), "benchmark_spans")
-    found = stage(extended.join(spans, "span").select("key", "th", "i", "n", "span"), "leaks")
+        near = _with_spans(near, n, known)
+    extended = near.select("key", "th", F.explode(F.concat(*[F.col(f"s{n}") for n in lengths])).alias("s")).select("key", "th", "s.i", "s.n", "s.fp", "s.span")
+    spans = stage(bench.select("fp", "span").distinct(), "benchmark_spans")
+    found = stage(extended.join(spans, ["fp", "span"]).select("key", "th", "i", "n", "span"), "leaks")
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("i", "n"))),
         F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
@@ -132,15 +159,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
 
 def without_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, that have no benchmark window."""
-    leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col).select("key", "th").alias("leaky")
+    leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col)
+    leaky = stage(leaky.select("key", "th"), "leaky_keys").alias("leaky")
     key, th = key_of(id_col, text_col)
     return docs.alias("d").join(leaky, (key == F.col("leaky.key")) & (th == F.col("leaky.th")), "left_anti").select("d.*")
 
 
-def _with_spans(df: DataFrame, n: int) -> DataFrame:
-    """df with s<n>: (i, n, span) of the windows whose fingerprint is in fps."""
-    at = F.filter(_indices(F.size(f"m{n}")), lambda i: F.array_contains(F.col("fps"), F.get(f"m{n}", i)))
-    return df.withColumn(f"s{n}", F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("span"))))
+def _with_spans(df: DataFrame, n: int, known: BitTable) -> DataFrame:
+    """df with s<n>: (i, n, fp, span) of the windows whose fingerprint may be known."""
+    at = F.filter(_indices(F.size(f"m{n}")), lambda i: known.may_have(F.get(f"m{n}", i)))
+    return df.withColumn(f"s{n}", F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.get(f"m{n}", i).alias("fp"), F.array_join(F.slice("words", i + 1, n), " ").alias("span"))))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
