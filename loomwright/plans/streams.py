@@ -8,12 +8,11 @@ from ..staging import fresh_dir
 from ..streaming import windows as W
 from .registry import query, table
 
-_COUNTS = [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")]
-
 
 @query("window_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def window_tumbling(spark, d):
-    out = W.windowed(W.event_time(table(spark, d, "events")), "1 hour", _COUNTS, by=["event_type"])
+    counts = [F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")]
+    out = W.windowed(W.event_time(table(spark, d, "events")), "1 hour", counts, by=["event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
