@@ -74,7 +74,10 @@ def balanced_class_batches(spark, d):
     return S.class_batches(table(spark, d, "labels"), "toxic", "doc_id", {0: 3, 1: 2})
 
 
-@query("subset_window", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i >= 200 AND i < 300")
+@query("subset_window", """
+WITH d AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
+SELECT doc_id, source FROM d WHERE i // 100 = 2 % ((n + 99) // 100)
+""")
 def subset_window(spark, d):
     return S.subset_window(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 100, 2)
 
