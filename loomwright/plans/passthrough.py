@@ -11,7 +11,7 @@ STATEMENTS = {
     "sql_join_left": ("customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey"),
     "sql_join_full": ("supplier customer", "SELECT coalesce(s_nationkey, c_nationkey) AS nation, sum(CASE WHEN s_suppkey IS NULL THEN 1 ELSE 0 END) AS no_supplier, count(*) AS n FROM supplier FULL OUTER JOIN customer ON s_nationkey = c_nationkey AND s_acctbal < c_acctbal GROUP BY coalesce(s_nationkey, c_nationkey)"),
     "sql_join_semi": ("customer orders", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'F'", "SELECT c_custkey FROM customer SEMI JOIN (SELECT o_custkey AS c_custkey FROM orders WHERE o_orderstatus = 'F') USING (c_custkey)"),
-    "sql_join_anti": ("customer orders", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "sql_join_anti": ("customer orders", "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT'", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "sql_join_theta": ("nation region", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey > r_regionkey"),
     "sql_agg_distinct": ("lineitem", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag"),
     "sql_agg_having": ("orders", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12"),

@@ -76,10 +76,14 @@ def semi_join(spark, d):
     return R.only_known(known, table(spark, d, "supplier").where("s_acctbal > 0"), "l_suppkey", "s_suppkey")
 
 
-@query("lookup_composite_key", f"SELECT {_PAIRS} FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem) AND l_linenumber = 1")
+_LAST = "l_orderkey = (SELECT max(l_orderkey) FROM lineitem)"
+
+
+@query("lookup_composite_key", f"SELECT {_PAIRS} FROM lineitem WHERE {_LAST} AND l_linenumber = (SELECT max(l_linenumber) FROM lineitem WHERE {_LAST})")
 def lookup_composite_key(spark, d):
     facts = table(spark, d, "lineitem").selectExpr(*_PAIRS.split(", "))
-    return facts.where((F.col("l_orderkey") == facts.agg(F.max("l_orderkey")).scalar()) & (F.col("l_linenumber") == 1))
+    last = facts.agg(F.max(F.struct("l_orderkey", "l_linenumber")).alias("k"))
+    return facts.where((F.col("l_orderkey") == last.select("k.l_orderkey").scalar()) & (F.col("l_linenumber") == last.select("k.l_linenumber").scalar()))
 
 
 @query("load_by_key", "SELECT l_orderkey, l_linenumber, l_partkey, p_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
