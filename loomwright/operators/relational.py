@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ordinals import number_in_groups
+
 
 def keep_or_exclude(df: DataFrame, filters: Mapping[str, Mapping]) -> DataFrame:
     """Rows that pass every filter {column: {"mode": "keep" or "exclude", "values": [...]}}.
@@ -127,5 +129,5 @@ def on_distinct(df: DataFrame, column: str, function, out: str) -> DataFrame:
 
 
 def indices_per_class(df: DataFrame, label: str, index: str) -> DataFrame:
-    """(label, indices): the sorted indices of each class. One row a class: for label counts that a row can hold."""
-    return df.groupBy(label).agg(F.sort_array(F.collect_list(index)).alias("indices"))
+    """(label, ordinal, index): the indices of each class, numbered from 0 in their order. Classes may be as large as the table."""
+    return number_in_groups(df.select(label, index), label, [index]).select(label, "ordinal", index)

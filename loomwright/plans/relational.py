@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, random, sequences
 from ..operators import relational as R
+from ..operators.ordinals import number_in_groups
 from .registry import query, table
 
 _PAIRS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_extendedprice"
@@ -132,10 +133,8 @@ def valid_sequence(spark, d):
 
 @query("ordinal_then_filter", "SELECT o_custkey, o_orderkey, ordinal FROM (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS ordinal FROM orders) WHERE o_orderstatus = 'F'")
 def ordinal_then_filter(spark, d):
-    from pyspark.sql import Window
-
-    at = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", at.alias("ordinal")).where("o_orderstatus = 'F'").drop("o_orderstatus")
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return number_in_groups(orders, "o_custkey", ["o_orderkey"]).where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "ordinal")
 
 
 @query("dominant_share_filter", "SELECT o_custkey, sum(n)::BIGINT AS rows, round(max(n) / sum(n), 9) AS share FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey HAVING sum(n) >= 8 AND max(n) / sum(n) <= 0.5")
@@ -186,8 +185,7 @@ def distinct_apply(spark, d):
 @query("indices_per_class", "SELECT l_returnflag AS label, count(*) AS n, min(i) AS first, max(i) AS last, sum(i)::BIGINT AS total FROM (SELECT l_returnflag, l_orderkey * 10 + l_linenumber AS i FROM lineitem) GROUP BY ALL")
 def indices_per_class(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"))
-    total = F.aggregate("indices", F.lit(0).cast("long"), lambda s, v: s + v)
-    return R.indices_per_class(rows, "label", "i").select("label", F.size("indices").cast("long").alias("n"), F.array_min("indices").alias("first"), F.array_max("indices").alias("last"), total.alias("total"))
+    return R.indices_per_class(rows, "label", "i").groupBy("label").agg(F.count("*").alias("n"), F.min("i").alias("first"), F.max("i").alias("last"), F.sum("i").alias("total"))
 
 
 @query("label_stats", f"SELECT split, l_returnflag AS label, count(*) AS n FROM lineitem JOIN (SELECT o_orderkey, {_SPLIT} AS split FROM orders) ON l_orderkey = o_orderkey GROUP BY ALL")
@@ -208,7 +206,7 @@ def limit_rows(spark, d):
 @query("nested_min_max", "SELECT user_id, min(k) AS least, max(k) AS most FROM (SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events) GROUP BY user_id")
 def nested_min_max(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").groupBy("user_id").agg(F.collect_set(k).alias("ks")).select("user_id", F.array_min("ks").alias("least"), F.array_max("ks").alias("most"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.min(k).alias("least"), F.max(k).alias("most"))
 
 
 @query("unpivot_avg", "SELECT s_nationkey, metric, round(avg(value), 6) AS mean FROM (SELECT s_nationkey, 'balance' AS metric, s_acctbal AS value FROM supplier UNION ALL SELECT s_nationkey, 'key', s_suppkey::DOUBLE FROM supplier) GROUP BY ALL")
