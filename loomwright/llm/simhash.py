@@ -2,12 +2,13 @@
 
 Links between distinct fingerprints are found by pigeonring filtering. The 64 bits are cut into m segments
 on a ring. If two fingerprints differ in at most t bits, then from some segment on, every chain of l
-consecutive segments differs in at most l * t / m bits. With m = t + 1 the first segment of such a chain is
-equal on both sides, so an equi-join on (segment, value) finds every candidate; the longer chains are
-checked in the join's condition, before the full Hamming distance.
+consecutive segments differs in at most l * t / m bits. Chains with l * t < m are equal on both sides, so an
+equi-join on (first segment, values of the longest such chain) finds every candidate; the longer chains are
+checked in the join's condition, before the full Hamming distance. With t = 2 and m = 5, two segments, 25 bits
+or more, are equal, three differ in one bit at most, and so on.
 
-Segments that very many distinct fingerprints share would make that join quadratic. Fingerprints in such a
-segment bucket take an exact linear way instead: each is emitted under itself and its 64 one-bit
+Chains that very many distinct fingerprints share would make that join quadratic. Fingerprints in such a
+bucket take an exact linear way instead: each is emitted under itself and its 64 one-bit
 neighbours. Two fingerprints differ in at most two bits exactly if they meet under a common key, and no key
 can have more than 65 fingerprints.
 """
@@ -32,24 +33,35 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 _BYTE_OF = np.arange(8) * 256
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The signed 64-bit fingerprint of a UTF-8 text; 0 if it has no words.
+def digests(text: bytes, shingle: int = 3) -> np.ndarray:
+    """The XXH64 digests, 8 bytes each, of a UTF-8 text's word shingles, repeats included; a text of fewer words is one shingle, one of none has none.
 
     Words are runs of other than space and U+0009 to U+000D; only A-Z is lower-cased.
     """
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     if len(words) < shingle:
         grams: Iterator[bytes] = iter([b" ".join(words)])
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_digest
-    packed = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8)
+
+
+def of_digests(packed: np.ndarray) -> int:
+    """The signed 64-bit fingerprint: a bit is set if it is set in over half of the digests; 0 if there are none."""
+    if not len(packed):
+        return 0
     counts = np.bincount((packed + _BYTE_OF).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int(np.packbits(2 * counts.ravel() > len(packed)).view(">i8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The signed 64-bit fingerprint of a UTF-8 text; 0 if it has no words."""
+    return of_digests(digests(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp) of every row."""
 
@@ -70,16 +82,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, bucket_limit: int = 64) -> DataFrame:
+def links(nodes: DataFrame, segments: int = 5, bucket_limit: int = 64) -> DataFrame:
     """(u, v) pairs of linked nodes, enough to connect every component; nodes has (fp, node), fp distinct.
 
     bucket_limit is no cap on partners: buckets with more fingerprints take the exact linear way.
     """
-    max_bits = MAX_BITS
-    segments = max_bits + 1
     masks = _masks(segments)
-    per_segment = F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("val")) for i, m in enumerate(masks)]))
-    keyed = nodes.withColumn("k", per_segment).select("k.seg", "k.val", "fp", "node")
+
+    def chain(start: int, length: int) -> int:
+        return _signed(sum(masks[(start + j) % segments] for j in range(length)))
+
+    equal = (segments - 1) // MAX_BITS  # a chain of so many segments must not differ at all
+    keys = [F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(chain(i, equal))).alias("val")) for i in range(segments)]
+    keyed = nodes.withColumn("k", F.explode(F.array(*keys))).select("k.seg", "k.val", "fp", "node")
     large = stage(keyed.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > bucket_limit).select("seg", "val"), "large_buckets")
     a = keyed.join(large, ["seg", "val"], "left_anti")
     b = a.select("seg", "val", F.col("fp").alias("fp2"), F.col("node").alias("node2"))
@@ -88,15 +103,12 @@ def links(nodes: DataFrame, bucket_limit: int = 64) -> DataFrame:
     condition = (F.col("a.seg") == F.col("b.seg")) & (F.col("a.val") == F.col("b.val")) & (F.col("a.fp") < F.col("b.fp2"))
 
     def viable(length: int) -> Column:
-        spans = [_signed(sum(masks[(i + j) % segments] for j in range(length))) for i in range(segments)]
-        mask = F.lit(spans[-1])
-        for i, m in enumerate(spans[:-1]):
-            mask = F.when(F.col("a.seg") == i, F.lit(m)).otherwise(mask)
-        return F.bit_count(differ.bitwiseAND(mask)) <= length * max_bits // segments
+        mask = F.get(F.array(*[F.lit(chain(i, length)) for i in range(segments)]), F.col("a.seg"))
+        return F.bit_count(differ.bitwiseAND(mask)) <= length * MAX_BITS // segments
 
-    for length in range(2, segments):
+    for length in range(equal + 1, segments):
         condition = condition & viable(length)
-    condition = condition & (F.bit_count(differ) <= max_bits)
+    condition = condition & (F.bit_count(differ) <= MAX_BITS)
     near = a.join(b, condition).select(F.col("node").alias("u"), F.col("node2").alias("v"))
     crowded = keyed.join(large, ["seg", "val"], "left_semi").select("fp", "node").distinct()
     keys = F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)]))

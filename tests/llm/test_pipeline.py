@@ -3,9 +3,9 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from loomwright.llm import simhash, toxicity
+from loomwright.llm import toxicity
 from loomwright.staging import stage
-from tests.llm import test_decontaminate, test_mixing, test_simhash
+from tests.llm import test_decontaminate, test_jaccard, test_mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,10 +28,7 @@ def test_run_against_brute_force(spark):
     model = toxicity.fit(table, spark.read.parquet(f"{SF}/labels.parquet"))
     clean = [d for d in rows if model.scores([rows[d].text.encode()])[0] < corpus_pipeline.REJECT]
     docs = without_common_lines({d: rows[d].text for d in clean})
-    fps = defaultdict(list)
-    for d, t in docs.items():
-        fps[test_simhash.brute_fingerprint(t)].append(d)
-    component = test_simhash.brute_components(fps)
+    component = test_jaccard.brute_components(docs)
     docs = {d: t for d, t in docs.items() if component[d] == d}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = {d: docs[d] for d, _, hit, _ in test_decontaminate.brute(docs.items(), items) if not hit}
