@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -57,52 +58,74 @@ def normal(text: bytes) -> tuple[bytes, int]:
     return b" " + b"".join(w + b" " for w in words), len(words)
 
 
-def exact_places(norm: bytes, phrase: bytes) -> list[int]:
-    """Numbers of the words at which the phrase's words stand consecutively."""
-    out, at, sought = [], -1, b" " + phrase + b" "
-    while (at := norm.find(sought, at + 1)) >= 0:
-        out.append(norm.count(b" ", 0, at))
+def found_at(norm: bytes, sought: bytes) -> list[int]:
+    """Where sought stands in norm, overlapping places included."""
+    out, at = [], norm.find(sought)
+    while at >= 0:
+        out.append(at)
+        at = norm.find(sought, at + 1)
     return out
 
 
-def fuzzy_places(norm: bytes, notice: Notice, seeds, pattern) -> list[tuple[int, int, int]]:
-    """(start, end, edits) in norm of the matches around each seed, from left to right, without overlap."""
-    at = set()
-    for offset, seed in seeds:
-        hit = norm.find(seed)
-        while hit >= 0:
-            at.add(max(0, hit - offset - notice.edits))
-            hit = norm.find(seed, hit + 1)
-    out, after = [], 0
-    for lo in sorted(at):
-        lo = max(lo, after)
-        m = pattern.search(norm, lo, min(len(norm), lo + len(notice.text) + 4 * notice.edits))
-        if m:
-            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            after = m.end()
+def fuzzy_places(norm: bytes, notice: Notice, seeds, pattern, cache: dict[bytes, tuple | None] | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, edits) in norm of the matches around each seed, from left to right, without overlap.
+
+    A match has its exact seed in it, so seeds within what is already matched are passed over, as are seeds whose
+    matches would lie in a window in which there is none. cache keeps what was found in windows of the same bytes.
+    """
+    cache = {} if cache is None else cache
+    at = sorted({(max(0, hit - offset - notice.edits), hit) for offset, seed in seeds for hit in found_at(norm, seed)})
+    out, after, empty = [], 0, -1
+    for lo, hit in at:
+        if hit < after or lo <= empty:
+            continue
+        start = max(lo, after)
+        window = norm[start : start + len(notice.text) + 4 * notice.edits]
+        if window not in cache:
+            if len(cache) >= _CACHED:
+                cache.clear()
+            m = pattern.search(window)
+            cache[window] = m and (m.start(), m.end(), sum(m.fuzzy_counts))
+        if found := cache[window]:
+            out.append((start + found[0], start + found[1], found[2]))
+            after, empty = out[-1][1], -1
+        else:
+            empty = start + notice.edits
     return out
 
 
+_CACHED = 4096  # windows of a notice, each of about its length
+_SPANS = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("edits", pa.int64()), ("chars", pa.int64())]))
+
+
 def _scan(phrases, notices):
     def run(batches):
-        ready = [(n, n.seeds(), n.pattern()) for n in notices]
+        ready = [(n, n.seeds(), n.pattern(), {}) for n in notices]
         for batch in batches:
             counts, found = [], []
             for _, text in rows(batch, "id", "text"):
                 norm, n = normal(text)
-                spans = []
+                spans, blanks = [], None
+
+                def word(places: list[int]) -> list[int]:
+                    """Blanks before each place: the number of the word that follows, if it is a blank itself."""
+                    nonlocal blanks
+                    if blanks is None:
+                        blanks = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+                    return np.searchsorted(blanks, places).tolist()
+
                 for phrase, label in phrases:
-                    length = phrase.count(" ")
-                    spans += [{"label": label, "base": True, "first": w, "last": w + length, "edits": 0, "chars": len(phrase)} for w in exact_places(norm, phrase.encode())]
-                for notice, seeds, pattern in ready:
-                    for a, b, edits in fuzzy_places(norm, notice, seeds, pattern):
-                        a += norm[a : a + 1] == b" "
-                        first = norm.count(b" ", 0, a) - 1
-                        spans.append({"label": notice.label, "base": False, "first": first, "last": first + norm.count(b" ", a, b - (norm[b - 1 : b] == b" ")), "edits": edits, "chars": len(notice.text)})
+                    if at := found_at(norm, b" " + phrase.encode() + b" "):
+                        length = phrase.count(" ")
+                        spans += [{"label": label, "base": True, "first": w, "last": w + length, "edits": 0, "chars": len(phrase)} for w in word(at)]
+                for notice, seeds, pattern, cache in ready:
+                    if at := fuzzy_places(norm, notice, seeds, pattern, cache):
+                        firsts = word([a + (norm[a : a + 1] == b" ") for a, _, _ in at])
+                        lasts = word([b - (norm[b - 1 : b] == b" ") for _, b, _ in at])
+                        spans += [{"label": notice.label, "base": False, "first": f - 1, "last": z - 1, "edits": e, "chars": len(notice.text)} for (_, _, e), f, z in zip(at, firsts, lasts, strict=True)]
                 counts.append(n)
                 found.append(spans)
-            kind = pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("edits", pa.int64()), ("chars", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(found, kind)], ["id", "n_words", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(found, _SPANS)], ["id", "n_words", "spans"])
 
     return run
 
@@ -112,8 +135,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     spans is an array of (label, base, first, last, edits, chars): first and last are the numbers of the words,
     from 0, between which the phrase or notice of so many characters stands with so many edits; base marks the
-    exact phrases. A null text is empty and has no words. Repeated rows are scanned each for itself; other
-    columns are not read.
+    exact phrases. A null text is empty and has no words. Repeated rows are scanned each for itself; an empty table
+    gives no rows; other columns are not read.
     """
     ready = [Notice(label, text.encode(), edits) for label, text, edits in notices]
     taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -2,12 +2,13 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived: every text that the rule
 matches satisfies it. Documents are indexed in segments of a fixed number of bytes: a segment's index maps
-each trigram that some query asks for to the posting list of the documents that contain it (in lower
-case). A query is answered by intersecting and uniting postings; the rule's expression then runs on the
-candidates alone. A rule whose expression has no mandatory trigram scans every document.
+every trigram of bytes, A-Z in lower case, to the posting list of the documents that contain it. A query is
+answered by intersecting and uniting postings; the rule's expression then runs on the candidates alone. A
+rule whose expression has no mandatory trigram scans every document.
 
-Segments are built and searched where the texts are read, so nothing is shuffled and a lost executor costs
-the segments it held.
+A scan builds and searches segments where the texts are read, so nothing is shuffled and a lost executor
+costs the segments it held. build_index stores the same segments as a table, in which candidates of rules that
+were not known then can be sought without reading a text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..staging import stage
 from .arrow import rows
 
 Query = tuple | str | None  #: ("and", ...) or ("or", ...) of queries, a trigram, or None: every document
@@ -46,7 +48,7 @@ RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
 
@@ -68,7 +70,17 @@ def _of_strings(strings: set[str]) -> Query:
     return _or(_and(s[i : i + 3] for i in range(len(s) - 2)) for s in sorted(strings)) if strings else None
 
 
-_FEW = 64
+_FEW = 64  # strings that what stands before may end with
+_CLASS = 16  # characters of a class that is written out
+
+
+def _letters(items) -> set[str] | None:
+    """The characters of a class, in lower case; None if they are many or not ASCII."""
+    spans = [(a, a) if o is C.LITERAL else a if o is C.RANGE else None for o, a in items]
+    if None in spans or any(hi > 127 for _, hi in spans):
+        return None
+    found = {chr(c).lower() for lo, hi in spans for c in range(lo, hi + 1)}
+    return found if len(found) <= _CLASS else None
 
 
 def _walk(node, exact: set[str], known: list[Query]) -> set[str]:
@@ -82,11 +94,11 @@ def _walk(node, exact: set[str], known: list[Query]) -> set[str]:
 
     for op, arg in node:
         if op is C.LITERAL:
-            exact = extend({chr(arg).lower()})
+            exact = extend({chr(arg).lower()} if arg < 128 else None)
         elif op is C.SUBPATTERN:
             exact = _walk(arg[3], exact, known)
-        elif op is C.IN and all(o is C.LITERAL for o, _ in arg) and len(arg) <= 4:
-            exact = extend({chr(a).lower() for _, a in arg})
+        elif op is C.IN:
+            exact = extend(_letters(arg))
         elif op is C.BRANCH:
             branches = []
             for b in arg[1]:
@@ -115,7 +127,10 @@ def _walk(node, exact: set[str], known: list[Query]) -> set[str]:
 
 
 def trigram_query(pattern: str) -> Query:
-    """What the lower-cased trigrams of every text with a match satisfy; None if no trigram is mandatory."""
+    """What the trigrams of every text with a match satisfy, A-Z in lower case; None if no trigram is mandatory.
+
+    Case may be ignored for ASCII alone, as in (?ai:...).
+    """
     known: list[Query] = []
     ends = _walk(P.parse(pattern), {""}, known)
     return _and([*known, _of_strings(ends)])
@@ -128,33 +143,74 @@ def trigrams(query: Query) -> set[str]:
 # ---- segments
 
 
-def index_segment(texts: list[str], vocabulary: Iterable[str]) -> dict[str, np.ndarray]:
-    """Posting list of each trigram: the places in texts, ascending, of those that contain it."""
-    low = [t.lower() for t in texts]
-    return {g: np.flatnonzero(np.fromiter((g in t for t in low), bool, len(low))) for g in vocabulary}
-
-
-def candidates(query: Query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
-    if query is None:
-        return np.arange(n)
-    if isinstance(query, str):
-        return postings[query]
-    parts = [candidates(q, postings, n) for q in query[1:]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = np.intersect1d(out, p, assume_unique=True) if query[0] == "and" else np.union1d(out, p)
-    return out
+@dataclass(frozen=True)
+class Segment:
+    """The inverted index of n texts: the distinct trigrams, ascending, where the postings of each start, and the postings."""
+
+    n: int
+    grams: np.ndarray
+    starts: np.ndarray
+    postings: np.ndarray
+
+    @classmethod
+    def build(cls, texts: list[bytes], step: int = 1 << 20) -> Segment:
+        data = np.frombuffer(b"".join(texts).lower(), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        keys = [np.zeros(0, np.uint64)]
+        for lo in range(0, len(data), step):
+            x = data[lo : lo + step + 2].astype(np.uint64)
+            if len(x) > 2:
+                owner = np.searchsorted(ends, np.arange(lo, lo + len(x)), "right")
+                gram = x[:-2] << np.uint64(16) | x[1:-1] << np.uint64(8) | x[2:]
+                keys.append(np.unique((gram << np.uint64(32) | owner[:-2].astype(np.uint64))[owner[:-2] == owner[2:]]))
+        key = keys[1] if len(keys) == 2 else np.unique(np.concatenate(keys))
+        gram = (key >> np.uint64(32)).astype(np.uint32)
+        starts = np.flatnonzero(np.diff(gram, prepend=np.uint32(2**32 - 1)))
+        return cls(len(texts), gram[starts], np.append(starts, len(key)), key.astype(np.uint32))
+
+    def posting(self, gram: str) -> np.ndarray:
+        """Places of the texts, ascending, that contain a trigram."""
+        code = int.from_bytes(gram.encode(), "big")
+        at = int(np.searchsorted(self.grams, np.uint32(code)))
+        if at == len(self.grams) or self.grams[at] != code:
+            return np.zeros(0, np.int64)
+        return self.postings[self.starts[at] : self.starts[at + 1]].astype(np.int64)
+
+    def candidates(self, query: Query) -> np.ndarray:
+        """Places of the texts, ascending, that satisfy a query."""
+        if query is None:
+            return np.arange(self.n)
+        if isinstance(query, str):
+            return self.posting(query)
+        parts = [self.candidates(q) for q in query[1:]]
+        out = parts[0]
+        for p in parts[1:]:
+            out = np.intersect1d(out, p, assume_unique=True) if query[0] == "and" else np.union1d(out, p)
+        return out
+
+
+def _segments(batches, segment_bytes: int):
+    """(batch, first row, texts) of runs of rows of about segment_bytes of text, one row at least."""
+    for batch in batches:
+        texts, size, first = [], 0, 0
+        for i, (_, text) in enumerate(rows(batch, "id", "text")):
+            texts.append(text)
+            size += len(text)
+            if size >= segment_bytes:
+                yield batch, first, texts
+                texts, size, first = [], 0, i + 1
+        if texts:
+            yield batch, first, texts
 
 
 def _scan(rules: tuple[Rule, ...], segment_bytes: int):
     queries = [trigram_query(r.pattern) for r in rules]
-    vocabulary = sorted(set().union(*map(trigrams, queries)))
 
-    def search(texts: list[str], compiled) -> list[list[dict]]:
-        postings = index_segment(texts, vocabulary)
+    def search(raw: list[bytes], compiled) -> list[list[dict]]:
+        index, texts = Segment.build(raw), [t.decode() for t in raw]
         found: list[list[tuple]] = [[] for _ in texts]
         for k, (rule, query, pattern) in enumerate(zip(rules, queries, compiled, strict=True)):
-            for i in candidates(query, postings, len(texts)).tolist():
+            for i in index.candidates(query).tolist():
                 for m in pattern.finditer(texts[i]):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
                         found[i].append((m.start(), k, m.end()))
@@ -163,28 +219,50 @@ def _scan(rules: tuple[Rule, ...], segment_bytes: int):
     def run(batches):
         # a run of one class that must be of some length is sought with that length: shorter runs need not be visited
         compiled = [re.compile(re.sub(r"^(\[[^\]]+\])\+$", rf"\1{{{r.least},}}", r.pattern) if not r.group else r.pattern) for r in rules]
-        for batch in batches:
-            texts, size, out = [], 0, []
-            for _, text in rows(batch, "id", "text"):
-                texts.append(text.decode())
-                size += len(text)
-                if size >= segment_bytes:
-                    out += search(texts, compiled)
-                    texts, size = [], 0
-            if texts:
-                out += search(texts, compiled)
-            spans = pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), spans], ["id", "spans"])
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        for batch, first, texts in _segments(batches, segment_bytes):
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(texts)), pa.array(search(texts, compiled), kind)], ["id", "spans"])
 
     return run
 
 
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 1 << 20) -> DataFrame:
+    """A staged table of segments: (ids, grams, starts, postings), the arrays of Segment as little-endian bytes.
+
+    Every row of docs is in one segment; a null text is empty, a null id stays null. An empty table has no segments.
+    """
+
+    def run(batches):
+        for batch, first, texts in _segments(batches, segment_bytes):
+            index = Segment.build(texts)
+            ids = pa.array([batch.column("id").slice(first, len(texts)).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((index.grams, "<u4"), (index.starts, "<i8"), (index.postings, "<u4")))], ["ids", "grams", "starts", "postings"])
+
+    taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return stage(taken.mapInArrow(run, "ids array<long>, grams binary, starts binary, postings binary"), "trigram_index")
+
+
+def index_candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(kind, id) of the rows of an index of build_index that satisfy each rule's trigram query."""
+    queries = [(r.kind, trigram_query(r.pattern)) for r in rules]
+
+    def run(batches):
+        for batch in batches:
+            for ids, *parts in zip(*(batch.column(c).to_pylist() for c in ("ids", "grams", "starts", "postings")), strict=True):
+                held = Segment(len(ids), *(np.frombuffer(x, t) for x, t in zip(parts, ("<u4", "<i8", "<u4"), strict=True)))
+                for kind, query in queries:
+                    at = held.candidates(query).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), pa.array([ids[i] for i in at], pa.int64())], ["kind", "id"])
+
+    return index.mapInArrow(run, "kind string, id long")
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, segment_bytes: int = 1 << 20) -> DataFrame:
     """(id, spans) of every row: spans is an array of (kind, start, end), in code points of the text, end exclusive.
 
     Per rule the spans are the leftmost non-overlapping matches that are long enough, ordered by start, then
     as the rules are. Rules may overlap one another. A null text is empty and has no spans. Repeated rows are
-    scanned each for itself; other columns are not read.
+    scanned each for itself; an empty table gives no rows; other columns are not read.
     """
     taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return taken.mapInArrow(_scan(rules, segment_bytes), "id long, spans array<struct<kind:string,start:long,end:long>>")
@@ -200,10 +278,14 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql_spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
-    """Spans of one rule: the text splits at the matches, so the lengths of pieces and matches give the places."""
+    """Spans of one rule: the text splits at the matches, so the lengths of pieces and matches give the places.
+
+    What stands for a look behind is matched and then not counted: at most one character before eyJ.
+    """
     quoted = pattern.replace("'", "''")
+    ahead = "strpos(hit, 'eyJ') - 1" if kind == "jwt" else "0"
     return f"""
-  SELECT doc_id, {order} AS ord, '{kind}' AS kind, start, start + length(hit) AS stop FROM (
+  SELECT doc_id, {order} AS ord, '{kind}' AS kind, start + {ahead} AS start, start + length(hit) AS stop FROM (
     SELECT doc_id, hit, sum(length(piece) + coalesce(length(before), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS start, long_enough FROM (
       SELECT doc_id, i, hits[i] AS hit, pieces[i] AS piece, CASE WHEN i > 1 THEN hits[i - 1] END AS before, length(groups[i]) >= {least} AS long_enough
       FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
@@ -215,6 +297,7 @@ def _op2_sql() -> str:
     either = "".join
     words = "|".join(either(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     patterns = {"assign": rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""}
+    patterns["jwt"] = next(r.pattern for r in RULES if r.kind == "jwt").replace("(?<![A-Za-z0-9_-])", "(?:^|[^A-Za-z0-9_-])")
     parts = [_sql_spans(r.kind, k, patterns.get(r.kind, r.pattern), r.group, r.least) for k, r in enumerate(RULES)]
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({' UNION ALL '.join(parts)})

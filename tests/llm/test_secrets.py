@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from loomwright.llm import secrets
@@ -48,5 +50,37 @@ def test_every_match_is_a_candidate():
     texts = ["xabcx", "ABD", "nothing", "api_key=abcdefgh", "APIKEY: abcdefgh", "secre"]
     for p in ("ab[cd]", "(?ai:api_?key)", "x(abc|nope)x"):
         q = secrets.trigram_query(p)
-        got = secrets.candidates(q, secrets.index_segment(texts, secrets.trigrams(q)), len(texts))
+        got = secrets.Segment.build([t.encode() for t in texts], step=4).candidates(q)
         assert {i for i, t in enumerate(texts) if re.search(p, t)} <= set(got.tolist()) < set(range(len(texts)))
+
+
+def test_rules_with_small_classes_have_queries():
+    for kind, start in (("github", "gho"), ("slack", "xox"), ("jwt", "eyj"), ("assign", "tok")):
+        query = secrets.trigram_query(next(r.pattern for r in secrets.RULES if r.kind == kind))
+        assert query is not None and start in secrets.trigrams(query)
+
+
+def test_segments_against_plain_search():
+    texts = [b"", b"ab", b"abc", b"xABCx", "wörter".encode(), b"abcabc" * 100, b"bc", b"c"]
+    for step in (3, 5, 1 << 20):
+        index = secrets.Segment.build(texts, step)
+        assert [index.posting(g).tolist() for g in ("abc", "xab", "cab", "\u00f6r", "zzz")] == [[2, 3, 5], [3], [5], [4], []]
+
+
+def test_stored_index_serves_rules_added_later(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    index = secrets.build_index(docs, segment_bytes=1 << 16)
+    rules = (secrets.Rule("mail", r"[a-z]+@example\\.(com|org)"), secrets.Rule("license", "MIT [Ll]icense"), secrets.Rule("any", "[0-9]+"))
+    got = {(r.kind, r.id) for r in secrets.index_candidates(index, rules).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {(k.kind, d) for k in rules for d, t in texts.items() if re.search(k.pattern, t or "")} <= got
+    assert {d for k, d in got if k == "any"} == set(texts) and 0 < len([1 for k, _ in got if k == "license"]) < len(texts)
+    assert secrets.build_index(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 3_400_000, ("eyJ" * 1000 + " .eyJ") * 3000, "token" * 2_000_000, "token=abcdefgh " * 700_000, "ghp_" * 2_500_000, "-----BEGIN " * 900_000])
+def test_long_texts_take_linear_time(text):
+    began = time.process_time()
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], ["id", "text"])
+    assert sum(b.num_rows for b in secrets._scan(secrets.RULES, 1 << 20)([batch])) == 1
+    assert time.process_time() - began < 15
