@@ -1,4 +1,4 @@
-"""Small helpers for functions that run on Arrow batches."""
+"""Small helpers: rows of Arrow batches, and joins with tables of keys."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
+
+#: Keys of at most so many rows are sent to where the texts are read; texts are shuffled to more.
+BROADCAST_ROWS = 1_000_000
 
 
 def rows(batch: pa.RecordBatch, key: str, text: str) -> Iterator[tuple[int | None, bytes]]:
@@ -32,3 +36,8 @@ def open_fs(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A staged table of keys, to be broadcast if it has at most BROADCAST_ROWS rows, and else as it is."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -1,11 +1,12 @@
 """Mixing sources to target weights.
 
 The words of a source, its documents one after the other in a pseudorandom order, are packed into blocks of
-a fixed number of words. The mix has output shards of a fixed number of slots. Each shard draws how many of
-its slots each source gets: the whole part of the expected number, and a multinomial draw over the rest. A
+a fixed number of words. The mix has output shards of a fixed number of slots. How many slots of a shard each
+source gets is a multinomial draw, given what each source has in all: one pseudorandom permutation deals the slots of
+all sources out to the shards. (Draws of every shard for itself leave a small source far from its target.) A
 source's n-th slot overall is mapped to one of its blocks through a pseudorandom permutation of the block
 numbers, one for every pass, and slots and blocks are joined by block number. All draws depend on a seed and
-on numbers alone, so reruns and retries agree.
+on numbers alone, so reruns and retries agree. Sources are rows of a table like any other: there may be any number.
 """
 
 from __future__ import annotations
@@ -16,27 +17,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.ordinals import number_rows, running_sums
 from ..staging import stage
+from .arrow import sized
 
 _FAN = 4096  # groups of the middle level of the running sums
 
 
-def water_fill(sizes: list[int], weights: list[float], limit: float) -> list[float]:
-    """Shares of sum(sizes) by weight; no share is above limit times its size, and the excess goes to the others by weight."""
-    left, target = float(sum(sizes)), [0.0] * len(sizes)
-    free = set(range(len(sizes)))
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        full = [i for i in sorted(free) if unit * weights[i] > limit * sizes[i]]
-        if not full:
-            for i in free:
-                target[i] = unit * weights[i]
-            break
-        for i in full:
-            target[i] = float(limit * sizes[i])
-            left -= target[i]
-            free.remove(i)
-    return target
+def water_fill(sources: DataFrame, limit: float) -> DataFrame:
+    """sources, which has size and weight, with target: shares of all sizes by weight.
+
+    No share is above limit times its size; the excess goes to the others by weight. Each round is an aggregation.
+    """
+    unit, full = None, -1
+    while True:
+        cut = F.lit(False) if unit is None else limit * F.col("size") < unit * F.col("weight")
+        sums = sources.agg(F.sum("size").alias("all"), F.sum(F.when(cut, F.col("size")).otherwise(0)).alias("cut"), F.sum(F.when(cut, 0.0).otherwise(F.col("weight"))).alias("free"), F.count_if(cut).alias("n")).first()
+        if sums.n == full or not sums.free:
+            return sources.withColumn("target", F.when(cut, limit * F.col("size")).otherwise(F.lit(unit or 0.0) * F.col("weight")).cast("double"))
+        unit, full = (sums["all"] - limit * sums.cut) / sums.free, sums.n
 
 
 def _feistel(x: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
@@ -63,38 +62,18 @@ def permuted(x: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draw(expected: list[float], seed: int):
-    """Slots that a shard of n slots gives each source."""
-    share = np.array(expected) / sum(expected)
+def _place(slots: int, shard_slots: int, seed: int):
+    """(shard, slot, s, pass, block) of the slots of each row (s, blocks, above, lo, hi): a source's slots from lo to hi."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for shard, n in zip(batch.column("shard").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                base = np.floor(share * n + 1e-9)
-                rest = np.maximum(share * n - base, 0)
-                left = int(n - base.sum())
-                if left > 0 and rest.sum() > 0:
-                    base = base + np.random.default_rng([seed, shard]).multinomial(left, rest / rest.sum())
-                out += [(shard, s, int(c)) for s, c in enumerate(base) if c]
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shard", "s", "slots"])
-
-    return run
-
-
-def _place(blocks: list[int], limit: int, seed: int):
-    """(shard, slot, s, pass, block) of the slots of (shard, s, slots, before); passes beyond the limit are not taken."""
-
-    def run(batches):
-        for batch in batches:
-            for shard, s, n, before in zip(*(batch.column(c).to_pylist() for c in ("shard", "s", "slots", "before")), strict=True):
-                at = np.arange(before, min(before + n, limit * blocks[s]))
-                if len(at):
-                    turn, block = at // blocks[s], np.empty(len(at), np.int64)
-                    for t in np.unique(turn).tolist():
-                        block[turn == t] = permuted(at[turn == t] % blocks[s], blocks[s], (seed, s, t))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(at), pa.array(np.full(len(at), s)), pa.array(turn), pa.array(block)], ["shard", "slot", "s", "pass", "block"])
+            for s, blocks, above, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("s", "blocks", "above", "lo", "hi")), strict=True):
+                at = np.arange(lo, hi)
+                place = permuted(at + above, slots, (seed,))
+                turn, block = at // blocks, np.empty(len(at), np.int64)
+                for t in np.unique(turn).tolist():
+                    block[turn == t] = permuted(at[turn == t] % blocks, blocks, (seed, s, t))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (place // shard_slots, place % shard_slots, np.full(len(at), s), turn, block)], ["shard", "slot", "s", "pass", "block"])
 
     return run
 
@@ -102,85 +81,80 @@ def _place(blocks: list[int], limit: int, seed: int):
 class Mix:
     """A mix of documents.
 
-    sources: (source, weight, size, target) of each source, in order of code points, null last.
-    documents: (id, source, size, s, at) of every row: size in words, number of the source, first word in the source.
-    pieces: (shard, slot, s, pass, block, at, id, first, n) of what fills the slots: n words of a document from its word first.
+    sources: (s, source, weight, size, target) of each source, numbered in order of code points, null last.
+    documents: (id, th, source, size, s, at) of every row: XXH64 of the text, size in words, number of the source, first word in the source.
+    pieces: (shard, slot, s, pass, block, at, id, th, first, n) of what fills the slots: n words of a document from its word first.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), limit: int = 3, block_words: int = 128, shard_slots: int = 4096, seed: int = 11, max_sources: int = 100_000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), limit: int = 3, block_words: int = 128, shard_slots: int = 4096, seed: int = 11, batch_slots: int = 1 << 16):
         """Sources weigh as the numbers of weights, repeating, and share the size of all documents.
 
-        A word is a run of other than space and U+0009 to U+000D; null texts have none. Null sources are one
-        source. Rows that share an id are documents of their own. The driver holds one row a source; more than
-        max_sources are refused.
+        A word is a run of other than space and U+0009 to U+000D; null and empty texts have none, and nothing is taken
+        of them. Null sources are one source. Rows that share an id are documents of their own. An empty table gives
+        an empty mix. Other columns are not read.
         """
         spark = docs.sparkSession
         words = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-        sized = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
-        totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
-        if len(totals) > max_sources:
-            raise ValueError(f"more than {max_sources} sources")
-        totals.sort(key=lambda r: (r.source is None, r.source))
-        sizes = [r["size"] for r in totals]
-        own = [float(weights[i % len(weights)]) for i in range(len(sizes))]
-        targets = water_fill(sizes, own, limit)
-        blocks = [math.ceil(n / block_words) for n in sizes]
-        rows = [(i, r.source, own[i], sizes[i], targets[i], r.docs) for i, r in enumerate(totals)]
-        known = spark.createDataFrame(rows, "s long, source string, weight double, source_size long, target double, docs long")
-        self.sources = known.select("source", "weight", F.col("source_size").alias("size"), "target")
-        named = sized.join(F.broadcast(known), sized.source.eqNullSafe(known.source)).select("id", sized.source, "size", "s", "source_size", "target")
-        self.documents = stage(_running_sums(named, sum(r.docs for r in totals)), "offsets")
-        expected = [t * b / n if n else 0.0 for t, b, n in zip(targets, blocks, sizes, strict=True)]  # the last block may be short
-        slots = round(sum(expected))
-        if not slots:
-            self.pieces = spark.createDataFrame([], "shard long, slot long, s long, pass long, block long, at long, id long, first long, n long")
-            return
-        shards = math.ceil(slots / max(shard_slots, math.ceil(slots / 4096)))
-        spread = spark.range(shards).select(F.col("id").alias("shard"), (F.floor((F.col("id") + 1) * slots / shards) - F.floor(F.col("id") * slots / shards)).alias("n"))
-        drawn = stage(spread.mapInArrow(_draw(expected, seed), "shard long, s long, slots long"), "draws")  # a row a shard and source
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(slots / (1 << 20)))  # by the slots, not by the few rows they come from
-        before = F.sum("slots").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-        placed = drawn.withColumn("before", F.coalesce(before, F.lit(0))).repartition(tasks, "shard", "s").mapInArrow(_place(blocks, limit, seed), "shard long, slot long, s long, pass long, block long")
+        sized_docs = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
+        totals = sized_docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
+        numbered = number_rows(totals, [F.col("source").asc_nulls_last()], "s")
+        weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights)).cast("int"))
+        filled = water_fill(stage(numbered.withColumn("weight", weight), "sources"), limit)
+        blocks = F.ceil(F.col("size") / block_words)
+        slots = F.when(F.col("size") > 0, F.round(F.col("target") * blocks / F.col("size"))).otherwise(0).cast("long")  # the last block may be short
+        known = stage(running_sums(filled.withColumn("blocks", blocks).withColumn("slots", slots), ["s"], {"above": "slots"}), "shares")
+        self.sources = known.select("s", "source", "weight", "size", "target")
+        all_slots, rows_ = known.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
+        own = sized(known.select("s", F.col("source").alias("name"), F.col("size").alias("source_size"), "target"))
+        named = sized_docs.join(own, F.col("source").eqNullSafe(F.col("name"))).select("id", "th", "source", "size", "s", "source_size", "target")
+        self.documents = stage(_running_sums(named, rows_), "offsets")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(all_slots / (1 << 20)))  # by the slots, not by the few rows they come from
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(batch_slots).cast("long")))
+        parts = known.where("slots > 0").select("s", "blocks", "above", "slots", part.alias("lo")).withColumn("hi", F.least(F.col("lo") + batch_slots, "slots"))
+        placed = parts.repartition(tasks, "s", "lo").mapInArrow(_place(all_slots, shard_slots, seed), "shard long, slot long, s long, pass long, block long")
         first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
-        cut = self.documents.where("size > 0").select("s", "at", "id", "size", F.explode(F.sequence(first, last)).alias("block"))
+        cut = self.documents.where("size > 0").select("s", "at", "id", "th", "size", F.explode(F.sequence(first, last)).alias("block"))
         lo = F.greatest(F.col("at"), F.col("block") * block_words)
         hi = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
-        held = cut.select("s", "block", "at", "id", (lo - F.col("at")).alias("first"), (hi - lo).alias("n"))
-        # the slots come from few drawn rows, from which Spark would take them for small and broadcast them
-        self.pieces = placed.join(held.hint("merge"), ["s", "block"]).select("shard", "slot", "s", "pass", "block", "at", "id", "first", "n")
+        held = cut.select("s", "block", "at", "id", "th", (lo - F.col("at")).alias("first"), (hi - lo).alias("n"))
+        # the slots come from few rows, from which Spark would take them for small and broadcast them
+        self.pieces = placed.join(held.hint("merge"), ["s", "block"]).select("shard", "slot", "s", "pass", "block", "at", "id", "th", "first", "n")
 
     def taken(self) -> DataFrame:
         """documents with taken: words of the document that the mix has, repeats counted."""
-        sums = self.pieces.groupBy("s", "at", "id").agg(F.sum("n").alias("taken"))
-        known = self.documents.alias("d").join(sums.alias("t").hint("merge"), (F.col("d.s") == F.col("t.s")) & (F.col("d.at") == F.col("t.at")) & F.col("d.id").eqNullSafe(F.col("t.id")), "left")
+        sums = self.pieces.groupBy("s", "at").agg(F.sum("n").alias("taken"))  # where a document with words starts is its own
+        known = self.documents.alias("d").join(sums.alias("t").hint("merge"), (F.col("d.s") == F.col("t.s")) & (F.col("d.at") == F.col("t.at")), "left")
         return known.select("d.*", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
 
     def texts(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(shard, slot, source number, text) of the slots, the words of a slot joined by one space; docs as given, ids unique."""
-        words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        own = docs.select(F.col(id_col).cast("long").alias("id"), words.alias("words"))
-        part = self.pieces.join(own, "id").select("shard", "slot", "s", "at", F.array_join(F.slice("words", F.col("first") + 1, F.col("n")), " ").alias("part"))
-        joined = part.groupBy("shard", "slot", "s").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+        """(shard, slot, source number, text) of the slots, the words of a slot joined by one space; docs as given."""
+        own = docs.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("own_text")).dropDuplicates(["key", "own"])
+        part = self.pieces.join(own, F.col("id").eqNullSafe(F.col("key")) & (F.col("th") == F.col("own"))).withColumn("words", F.filter(F.split("own_text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+        cut = part.select("shard", "slot", "s", "at", F.array_join(F.slice("words", F.col("first") + 1, F.col("n")), " ").alias("part"))
+        joined = cut.groupBy("shard", "slot", "s").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
         return joined.select("shard", "slot", "s", F.array_join(F.transform("parts", lambda p: p["part"]), " ").alias("text"))
 
 
 def _running_sums(docs: DataFrame, rows: int, group_rows: int = 256) -> DataFrame:
     """docs with at: the sum of the sizes that come before in its source.
 
-    The order is by a hash bucket of the id. Sums run inside buckets of about group_rows rows, over the buckets
-    of a group of them, and over these groups, so that no window sees a large source whole.
+    The order is by a hash bucket of the id and the text. Sums run inside buckets of about group_rows different rows,
+    over the buckets of a group of them, and over these groups, so that no window sees a large source whole. Equal rows
+    go through the windows as one.
     """
     buckets = max(1, math.ceil(rows / group_rows))
-    keyed = docs.withColumn("b", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(buckets))).withColumn("g", F.floor(F.col("b") / _FAN))
-
-    def before(parts: tuple[str, ...], order: tuple[str, ...], total: str):
-        return F.coalesce(F.sum(total).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    fine = keyed.groupBy("s", "g", "b").agg(F.sum("size").alias("total"))
-    coarse = fine.groupBy("s", "g").agg(F.sum("total").alias("total")).withColumn("above", before(("s",), ("g",), "total")).select("s", "g", "above")
-    middle = fine.withColumn("inside", before(("s", "g"), ("b",), "total")).join(coarse, ["s", "g"]).select("s", "b", (F.col("inside") + F.col("above")).alias("base"))
-    local = keyed.withColumn("own", before(("s", "b"), ("id", "size"), "size"))
-    return local.join(stage(middle, "bases"), ["s", "b"]).withColumn("at", F.col("own") + F.col("base")).drop("b", "g", "own", "base")
+    bucket = F.pmod(F.xxhash64("id", "th", F.lit(5)), F.lit(buckets))
+    keyed = docs.groupBy(*docs.columns).agg(F.count("*").alias("copies")).withColumn("b", bucket).withColumn("g", F.floor(F.col("b") / _FAN)).withColumn("total", F.col("size") * F.col("copies"))
+
+    def before(parts: tuple[str, ...], order: tuple[str, ...]):
+        return F.coalesce(F.sum("total").over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    fine = keyed.groupBy("s", "g", "b").agg(F.sum("total").alias("total"))
+    coarse = fine.groupBy("s", "g").agg(F.sum("total").alias("total")).withColumn("above", before(("s",), ("g",))).select("s", "g", "above")
+    middle = fine.withColumn("inside", before(("s", "g"), ("b",))).join(coarse, ["s", "g"]).select("s", "b", (F.col("inside") + F.col("above")).alias("base"))
+    local = keyed.withColumn("own", before(("s", "b"), ("id", "th", "size"))).join(stage(middle, "bases"), ["s", "b"])
+    each = local.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return each.withColumn("at", F.col("own") + F.col("base") + F.col("copy") * F.col("size")).drop("b", "g", "own", "base", "copies", "total", "copy")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op6_simhash_near_dedup": simhash.op6,
     "op7_source_mixing": mixing.op7,
+    "op4_substring_dedup": substring.OP4_SQL,
     "op8_line_dedup": lines.op8,
     "op9_license_scan": licenses.op9,
     "op10_top_k": topk.op10,
@@ -21,6 +22,7 @@ SQL: dict[str, str] = {
     "op1_warc": warc.OP1_SQL,
     "op2_secret_scan": secrets.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op4_substring_dedup": substring.OP4_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op10_top_k": topk.OP10_SQL,
 }

@@ -6,6 +6,10 @@ string of their words to the minimiser's bucket, so that equal windows always me
 windows are sorted by hash and position, equality is verified on the words themselves, and every window
 but the first of its kind is reported.
 
+A minimiser that many different windows share would fill one bucket. Such hot minimisers are found on a fixed share
+of the documents, and their windows are cut again by a second minimiser, of longer grams, into runs that go to
+buckets of their own. As all tasks know the same list, equal windows still meet; the list settles only where.
+
 Before they travel, equal super-k-mers of one chunk of documents are merged: all but the first hold only
 repeated windows, which is known on the spot. A span that a large part of the corpus shares therefore
 reaches its bucket once a chunk. Strings are packed by (chunk, bucket) and compressed.
@@ -69,11 +73,20 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(part[: len(x) - n + 1], part[n - at :]) if n > at else part
 
 
-def super_kmers(words: list[bytes], doc: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, minimiser) of each super-k-mer of the documents in doc, which gives each word's document."""
+def super_kmers(words: list[bytes], doc: np.ndarray, k: int, m: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, key) of each super-k-mer of the documents in doc, which gives each word's document.
+
+    The key is the minimiser; with one of hot, which is sorted, it is of this and the second minimiser.
+    """
     if len(words) < k:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    least = sliding_min(gram_hashes(_hashes(words), m), k - m + 1)
+    h = _hashes(words)
+    least = sliding_min(gram_hashes(h, m), k - m + 1)
+    if hot is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot, least), len(hot) - 1)
+        n = max(m, k - _SECOND)
+        second = sliding_min(_mix(gram_hashes(h, n) ^ _MIX[1]), k - n + 1)
+        least = np.where(hot[at] == least, _mix(least * _MIX[0] + second), least)
     valid = doc[: len(least)] == doc[k - 1 :]
     joins = np.zeros(len(least), bool)
     joins[1:] = valid[1:] & valid[:-1] & (least[1:] == least[:-1]) & (doc[1 : len(least)] == doc[: len(least) - 1])
@@ -83,6 +96,34 @@ def super_kmers(words: list[bytes], doc: np.ndarray, k: int, m: int) -> tuple[np
     return first, np.flatnonzero(valid & ends), least[first]
 
 
+_SECOND = 8  # words by which the grams of the second minimiser are shorter than a window
+_SAMPLE = 64  # one in so many documents is looked at for hot minimisers
+_MOST_HOT = 100_000  # of more, the largest are taken
+
+
+def _weights(k: int, m: int, chunk_bytes: int):
+    def run(batches):
+        for chunk in _chunks(batches, chunk_bytes):
+            words = [w for _, _, ws in chunk for w in ws]
+            doc = np.repeat(np.arange(len(chunk)), [len(ws) for _, _, ws in chunk])
+            first, last, least = super_kmers(words, doc, k, m)
+            size = {(key, b" ".join(words[a : z + k])) for a, z, key in zip(first.tolist(), last.tolist(), least.tolist(), strict=True)}
+            keys = np.array([key for key, _ in size], np.uint64)
+            unique, at = np.unique(keys, return_inverse=True)
+            total = np.bincount(at, np.array([len(x) for _, x in size], float), len(unique)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(total)], ["key", "bytes"])
+
+    return run
+
+
+def hot_minimisers(keyed: DataFrame, k: int, m: int, share: float, chunk_bytes: int) -> np.ndarray:
+    """Sorted minimisers whose different strings have more than share bytes, as one in _SAMPLE documents tells; _MOST_HOT at most."""
+    part = keyed.where(F.pmod(F.xxhash64("id", "th"), F.lit(_SAMPLE)) == 0)
+    sums = part.mapInArrow(_weights(k, m, chunk_bytes), "key long, bytes long").groupBy("key").agg(F.sum("bytes").alias("bytes"))
+    rows_ = sums.where(F.col("bytes") * _SAMPLE > share).orderBy(F.col("bytes").desc(), "key").limit(_MOST_HOT).select("key").toArrow()
+    return np.sort(rows_.column("key").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def _pack(arrays: list[np.ndarray]) -> bytes:
     return zstandard.compress(np.ascontiguousarray(np.stack(arrays)).astype(np.int64).tobytes(), 1)
 
@@ -105,8 +146,9 @@ def _chunks(batches, limit: int) -> Iterator[list[tuple[int, int, list[bytes]]]]
         yield chunk
 
 
-def _split(k: int, m: int, buckets: int, chunk_bytes: int):
+def _split(k: int, m: int, buckets: int, chunk_bytes: int, hot):
     def run(batches):
+        held = hot.value
         for chunk in _chunks(batches, chunk_bytes):
             chunk.sort(key=lambda x: x[:2])
             words = [w for _, _, ws in chunk for w in ws]
@@ -114,7 +156,7 @@ def _split(k: int, m: int, buckets: int, chunk_bytes: int):
             doc = np.repeat(np.arange(len(chunk)), counts)
             base = np.cumsum(counts) - counts
             ids, ths = (np.array([x[j] for x in chunk], np.int64) for j in (0, 1))
-            first, last, least = super_kmers(words, doc, k, m)
+            first, last, least = super_kmers(words, doc, k, m, held)
             if not len(first):
                 continue
             text = b" ".join(words)
@@ -212,7 +254,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = 1 + 2 * (k - 1) / (k - m + 2)  # words that travel for each word of the corpus
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * spread / bucket_bytes))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    packed = keyed.mapInArrow(_split(k, m, buckets, chunk_bytes), _PACKED)
+    hot = spark.sparkContext.broadcast(hot_minimisers(keyed, k, m, total * spread / buckets, chunk_bytes))  # _MOST_HOT numbers at most
+    packed = keyed.mapInArrow(_split(k, m, buckets, chunk_bytes, hot), _PACKED)
     return packed.groupBy("bucket").applyInArrow(_count(k), RANGES)
 
 
@@ -254,3 +297,23 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op4(spark, sf_dir: str) -> DataFrame:
     out = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS span FROM (SELECT *, unnest(range(1, len(ws) - 18)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d
+), judged AS (
+  SELECT w.doc_id, w.word, w.p, g.p IS NOT NULL AS gone FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p
+), sums AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN sums s ON d.doc_id = s.doc_id
+"""

@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 
 from loomwright.llm import lines
 
@@ -30,12 +31,17 @@ def test_odd_rows(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_index_larger_than_the_cache(spark):
+@pytest.mark.parametrize(("hot", "shard"), [(0, 10**9), (0, 3), (5, 7), (10**6, 1)])
+def test_any_number_of_shards_agrees(spark, hot, shard):
+    """Lines that every task holds, and lines that are looked up in shards, one or many."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    path, shards, _ = lines.line_index(docs)
-    small, large = lines.Probe(path, shards, cache_bytes=1), lines.Probe(path, shards, cache_bytes=1 << 26)
-    keys = np.concatenate([np.zeros(3, np.uint64), *(p[1][1] for p in large._load())])
-    for _ in range(2):
-        a, b = small.find(keys, keys[::-1]), large.find(keys, keys[::-1])
-        assert (a[0] == b[0]).all()
-    assert small.cache is None and len(large.cache) > 1
+    want = {r.id: (r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(docs).collect()}
+    assert {r.id: (r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(docs, hot_keys=hot, shard_keys=shard).collect()} == want
+    assert sum(n for _, n, _ in want.values()) > 0
+
+
+def test_odd_rows_in_shards(spark):
+    rows = [(None, "a line of more than twenty characters\nx", 0, 1)] * 2 + [(i, "a line of more than twenty characters\ny", 0, 1) for i in (1, 2, 2, 3)] + [(4, None, 0, 1), (5, "", 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, lines int")
+    got = sorted((r.id or 0, r.n_dropped, r.text) for r in lines.dedup_lines(docs, hot_keys=0, carry=("shard",)).collect())
+    assert got == [(0, 1, "x"), (0, 1, "x"), (1, 1, "y"), (2, 1, "y"), (2, 1, "y"), (3, 0, "a line of more than twenty characters\ny"), (4, 0, ""), (5, 0, "")]

@@ -51,11 +51,32 @@ def test_pieces_are_the_words_of_the_documents(spark):
     assert sum(r.n for r in mix.pieces.collect()) == sum(sum(c.values()) for c in seen.values()) == sum(r.taken for r in mix.taken().collect())
 
 
-def test_permutation_and_shares():
+def test_permutation_and_shares(spark):
     for n in (1, 2, 3, 10, 1000, 4097):
         assert sorted(mixing.permuted(np.arange(n), n, (1, 2, 3)).tolist()) == list(range(n))
-    assert mixing.water_fill([10, 100, 1000], [5, 2, 1], 3) == [30.0, 300.0, 780.0]
-    assert mixing.water_fill([0, 0], [5, 2], 3) == [0.0, 0.0] and mixing.water_fill([], [], 3) == []
+    for sizes, want in (([10, 100, 1000], [30.0, 300.0, 780.0]), ([0, 0], [0.0, 0.0]), ([], [])):
+        table = spark.createDataFrame([(i, n, (5.0, 2.0, 1.0)[i]) for i, n in enumerate(sizes)], "s int, size long, weight double")
+        assert [r.target for r in mixing.water_fill(table, 3).orderBy("s").collect()] == want
+
+
+def test_many_sources_and_shards(spark):
+    """Thousands of sources, and of shards of a fixed number of slots; each source is within a block of its target."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 1 + id % 11), x -> 'w')) as text", "concat('s', id % 3000) as source")
+    mix = mixing.Mix(docs, block_words=2, shard_slots=4)
+    sizes = Counter()
+    for r in docs.collect():
+        sizes[r.source] += size(r.text)
+    want, taken = targets(sizes), Counter()
+    for r in mix.taken().collect():
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r["size"]
+    assert len(sizes) == 3000 and all(abs(taken[s] - want[s]) <= 4 for s in sizes)
+    slots = {(r.shard, r.slot) for r in mix.pieces.collect()}
+    held = Counter(shard for shard, _ in slots)
+    assert len(held) > 4096 and set(held[i] for i in range(len(held) - 1)) == {4}
+    again = mixing.Mix(docs.repartition(7), block_words=2, shard_slots=4, batch_slots=3)
+    cols = ["doc_id" if c == "id" else c for c in ("id", "source", "size", "target", "taken")]
+    assert sorted(map(tuple, mix.taken().selectExpr("id doc_id", "source", "size", "target", "taken").select(cols).collect())) == sorted(map(tuple, again.taken().selectExpr("id doc_id", "source", "size", "target", "taken").select(cols).collect()))
 
 
 def test_odd_rows(spark):
@@ -65,3 +86,11 @@ def test_odd_rows(spark):
     assert sorted(r["size"] for r in got) == [0, 0, 0, 3, 3, 3, 3000]
     assert all(r.taken <= 3 * r["size"] for r in got)
     assert mixing.Mix(docs.limit(0)).taken().count() == 0 and mixing.Mix(docs.where("doc_id = 2")).taken().count() == 1
+
+
+def test_texts_of_repeated_rows(spark):
+    rows = [(None, "a b c d", "x")] * 5 + [(1, "a b c d", "x"), (1, "e f g", "x"), (1, "e f g", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(docs, block_words=4)
+    words = Counter(w for r in mix.texts(docs).collect() for w in r.text.split())
+    assert sum(words.values()) == sum(r.taken for r in mix.taken().collect()) == 30 and words["a"] == 6 and words["g"] == 2

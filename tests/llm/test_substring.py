@@ -52,3 +52,35 @@ def test_pieces():
         assert len(g) == 50 - n and len(set(g.tolist())) == 50 - n
         assert g[-1] == substring.gram_hashes(h[-n:], n)[0]
         assert substring.sliding_min(h[::-1].copy(), n).tolist() == h[::-1][n - 1 :].tolist()
+
+
+def test_documents_against_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    cols = "doc_id, n_words, n_removed, kept_sha256"
+    want = sorted(duckdb.sql(f"SELECT {cols} FROM ({substring.OP4_SQL})").fetchall())
+    assert sorted(map(tuple, substring.op4(spark, sf).select(*cols.split(", ")).collect())) == want and sum(r[2] for r in want) > 0
+
+
+def test_hot_minimisers_are_cut_again(spark, monkeypatch):
+    """One gram in very many different windows: with its windows cut again, the results are the same, in many buckets."""
+    monkeypatch.setattr(substring, "_SAMPLE", 1)
+    draw = random.Random(4)
+    word = lambda: f"w{draw.randrange(50)}"
+    hot = "a b c d"
+    rows = [(i, " ".join([*(word() for _ in range(6)), hot, *(word() for _ in range(9))] * 2)) for i in range(300)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:40])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select(docs.doc_id.alias("id"), docs.doc_id.alias("th"), "text")
+    found = substring.hot_minimisers(keyed, 12, 4, 2000, 1 << 20)
+    assert 0 < len(found) < 200 and (np.sort(found) == found).all()
+    words = [w for _, t in rows for w in t.split()]
+    doc = np.repeat(np.arange(len(rows)), [len(t.split()) for _, t in rows])
+    plain, cut = (substring.super_kmers([w.encode() for w in words], doc, 12, 4, h) for h in (None, found))
+    covered = lambda x: sorted(w for a, z in zip(x[0].tolist(), x[1].tolist(), strict=True) for w in range(a, z + 1))
+    assert covered(plain) == covered(cut)
+    assert np.unique(cut[2], return_counts=True)[1].max() < np.unique(plain[2], return_counts=True)[1].max() / 2
+    got = {r.id: (r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in substring.dedup_substrings(docs, k=12).collect()}
+    assert got == brute(rows, 12)
