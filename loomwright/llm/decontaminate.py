@@ -14,22 +14,22 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..staging import stage
+from .arrow import sized
 
 NULL_ID = -(2**63)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words, found before A-Z are lower-cased.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; none for null."""
-    low = F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+    held = F.coalesce(text, F.lit(""))
+    low = F.when(F.octet_length(held) == F.char_length(held), F.lower(held)).otherwise(F.translate(held, ascii_uppercase, ascii_lowercase))  # lower() is faster, but not for A-Z alone
     return F.array_remove(F.split(low, SEPARATORS), "")
 
 
 def _grams(n: int) -> tuple[int, int]:
-    """k and w for windows of n words."""
-    k = (n + 1) // 2
+    """k and w for windows of n words: k is the same for most n, so that its grams serve several."""
+    k = min(n, 5) if n < 12 else n // 2
     return k, n - k + 1
 
 
@@ -39,24 +39,22 @@ def _indices(count: Column) -> Column:
 
 def with_minima(df: DataFrame, lengths: list[int]) -> DataFrame:
     """df, which has words, with m<n> for each n of lengths: the smallest k-gram hash of each window of n words."""
-    df = df.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    for n in lengths:
-        k, w = _grams(n)
+    df = df.withColumn("g1", F.transform("words", lambda w: F.xxhash64(w)))
+    for k in sorted({_grams(n)[0] for n in lengths} - {1}):
         df = _with_grams(df, k)
-        df = _with_windows(df, n, w)
-    return df.drop("h", "g")
+    for n in lengths:
+        df = _with_windows(df, n, *_grams(n))
+    return df.drop(*[c for c in df.columns if c[0] == "g" and c[1:].isdigit()])
 
 
 def _with_grams(df: DataFrame, k: int) -> DataFrame:
-    if k == 1:
-        return df.withColumn("g", F.col("h"))
-    return df.withColumn("g", F.transform(_indices(F.size("words") - (k - 1)), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(k)])))
+    return df.withColumn(f"g{k}", F.transform(_indices(F.size("words") - (k - 1)), lambda i: F.xxhash64(*[F.get("g1", i + j) for j in range(k)])))
 
 
-def _with_windows(df: DataFrame, n: int, w: int) -> DataFrame:
+def _with_windows(df: DataFrame, n: int, k: int, w: int) -> DataFrame:
     if w == 1:
-        return df.withColumn(f"m{n}", F.col("g"))
-    return df.withColumn(f"m{n}", F.transform(_indices(F.size("words") - (n - 1)), lambda i: F.least(*[F.get("g", i + j) for j in range(w)])))
+        return df.withColumn(f"m{n}", F.col(f"g{k}"))
+    return df.withColumn(f"m{n}", F.transform(_indices(F.size("words") - (n - 1)), lambda i: F.least(*[F.get(f"g{k}", i + j) for j in range(w)])))
 
 
 def key_of(id_col: str, text_col: str) -> list[Column]:
@@ -86,7 +84,8 @@ def benchmark_windows(items: DataFrame, window: int = 10, item_col: str = "item_
 class BitTable:
     """Which of 64-bit hashes may be in a set: a Bloom filter of at most MOST_BITS bits, as a foldable array of longs.
 
-    With more hashes than it is made for it lets more others pass, and still every one of the set.
+    With more hashes than it is made for it lets more others pass, and still every one of the set. Its size is bounded as
+    it is a constant of the plan; what it lets pass is a matter of cost alone.
     """
 
     PROBES, PER_HASH, MOST_BITS = (0, 14, 28, 42), 16, 1 << 24
@@ -116,19 +115,28 @@ class BitTable:
         return out
 
 
-def leaky_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Staged (key, th, n_hit, items) of the documents that have a benchmark window; see find_leaks.
+def leaky_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Staged (id, key, th, n_words) of every row, and (key, th, n_hit, items) of those that have a benchmark window; see find_leaks.
 
     key is the id, the smallest long for null.
     """
     lengths, bench = benchmark_windows(items, window, item_col, item_text_col)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), *key_of(id_col, text_col), words(F.col(text_col)).alias("words"))
     if not lengths:
-        return docs.sparkSession.createDataFrame([], "key long, th long, n_hit long, items array<string>")
-    known = BitTable(bench.select("fp").distinct(), "fp")
-    near = with_minima(docs.select(*key_of(id_col, text_col), words(F.col(text_col)).alias("words")), lengths)
+        return own.select("id", "key", "th", F.size("words").cast("long").alias("n_words")), docs.sparkSession.createDataFrame([], "key long, th long, n_hit long, items array<string>")
+    fps = stage(bench.select("fp").distinct(), "benchmark_fingerprints")
+    known = BitTable(fps, "fp")
+    may = lambda m: F.filter(F.array_distinct(m), known.may_have)
+    near = F.concat(*[may(f"m{n}") for n in lengths])
+    scanned = stage(with_minima(own, lengths).select("id", "key", "th", F.size("words").cast("long").alias("n_words"), near.alias("fps")), "scanned")
+    met = scanned.select("key", "th", F.explode("fps").alias("fp")).join(fps, "fp", "left_semi").select("key", "th").distinct()
+    met = sized(stage(met, "met")).withColumnsRenamed({"key": "met_key", "th": "met_th"})
+    key, th = key_of(id_col, text_col)
+    among = docs.join(met, (key == F.col("met_key")) & (th == F.col("met_th"))).select(F.col("met_key").alias("key"), F.col("met_th").alias("th"), words(F.col(text_col)).alias("words"))
+    wide = with_minima(among, lengths)
     for n in lengths:
-        near = _with_spans(near, n, known)
-    extended = near.select("key", "th", F.explode(F.concat(*[F.col(f"s{n}") for n in lengths])).alias("s")).select("key", "th", "s.i", "s.n", "s.fp", "s.span")
+        wide = _with_spans(wide, n, known)
+    extended = wide.select("key", "th", F.explode(F.concat(*[F.col(f"s{n}") for n in lengths])).alias("s")).select("key", "th", "s.i", "s.n", "s.fp", "s.span")
     spans = stage(bench.select("fp", "span").distinct(), "benchmark_spans")
     found = stage(extended.join(spans, ["fp", "span"]).select("key", "th", "i", "n", "span"), "leaks")
     covered = F.aggregate(
@@ -140,7 +148,7 @@ def leaky_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
     n_hit = found.groupBy("key", "th").agg(covered.alias("n_hit"))
     of_items = found.join(bench.select("span", F.col("item").cast("string").alias("item")), "span").where("item is not null")
     named = of_items.select("key", "th", "item").distinct().groupBy("key", "th").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return stage(n_hit.join(named, ["key", "th"], "left"), "leaky_documents")
+    return scanned, stage(n_hit.join(named, ["key", "th"], "left"), "leaky_documents")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -151,18 +159,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
     equal rows get equal results. Null and empty texts have no words. Items without words match nothing; a null
     item id is not listed. Rows with a null id keep it. Other columns are not read.
     """
-    leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), *key_of(id_col, text_col), F.coalesce(F.regexp_count(text_col, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = base.join(leaky, ["key", "th"], "left")
+    scanned, leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col)
+    out = scanned.join(leaky, ["key", "th"], "left")
     return out.select("id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, that have no benchmark window."""
-    leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col)
-    leaky = stage(leaky.select("key", "th"), "leaky_keys").alias("leaky")
+    """The rows of docs, with their columns, that have no benchmark window; null and empty texts have none."""
+    _, leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col)
+    leaky = sized(stage(leaky.select(F.col("key").alias("leaky_key"), F.col("th").alias("leaky_th")), "leaky_keys"))
     key, th = key_of(id_col, text_col)
-    return docs.alias("d").join(leaky, (key == F.col("leaky.key")) & (th == F.col("leaky.th")), "left_anti").select("d.*")
+    return docs.alias("d").join(leaky, (key == F.col("leaky_key")) & (th == F.col("leaky_th")), "left_anti").select("d.*")
 
 
 def _with_spans(df: DataFrame, n: int, known: BitTable) -> DataFrame:

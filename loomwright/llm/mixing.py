@@ -94,7 +94,8 @@ class Mix:
         an empty mix. Other columns are not read.
         """
         spark = docs.sparkSession
-        words = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+        parts = F.array_remove(F.split(F.coalesce(text_col, F.lit("")), r"[\x20\x09-\x0D]+"), "")  # much faster than counting matches of what is between
+        words = F.size(parts).cast("long")
         sized_docs = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(source_col).cast("string").alias("source"), words.alias("size")), "sizes")
         totals = sized_docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
         numbered = number_rows(totals, [F.col("source").asc_nulls_last()], "s")

@@ -107,7 +107,7 @@ def _segment_sums(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.5, seed: int = 7) -> Model:
-    """Joint training on whole texts: each step takes the currently most toxic segment of each text of a batch."""
+    """Joint training: first on averages of whole texts, then each step takes the currently most toxic segment of each text of a batch."""
     rng = np.random.default_rng(seed)
     vocab: dict[bytes, int] = {}
     docs = [np.array([vocab.setdefault(w, len(vocab)) for w in tokens(t)], np.int64) for t in texts]
@@ -133,10 +133,10 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 6
             for k, i in enumerate(at):
                 d = docs[i]
                 if epoch == 0:
-                    s = rng.integers(0, len(d), 1)[0] // SEGMENT
+                    words = d
                 else:
                     s = int((_segment_sums(part[d]) / _segment_sums(sizes[d].astype(float))).argmax())
-                words = d[s * SEGMENT : (s + 1) * SEGMENT]
+                    words = d[s * SEGMENT : (s + 1) * SEGMENT]
                 rows_ = np.concatenate([flat[starts[w] : starts[w] + sizes[w]] for w in words])
                 chosen.append(rows_)
                 owner.append(len(rows_))
@@ -186,14 +186,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The sample is of the labelled training rows (see is_training). Of label 1 the 2 * toxic_rows ids with the
     smallest hash are looked up, of label 0 the 2 * other_rows; of these, up to toxic_rows and other_rows
     are used, among the rows whose text has at most row_chars characters. Other labels, and rows with a null
-    id or text, are left out. An id labelled more than once counts as toxic if any of its labels does.
+    id or text, are left out. An id labelled more than once counts as toxic if any of its labels does; of several texts
+    of one id the smallest is used. Empty tables give a model that scores every text alike, near 0.
     """
     seen = labels.where(F.col(label_col).isin(0, 1) & is_training(F.col(id_col)))
     seen = seen.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).withColumn("h", F.xxhash64("id"))
     chosen = [seen.where(F.col("y") == y).orderBy("h", "id").limit(2 * n) for y, n in ((1, toxic_rows), (0, other_rows))]
     text = docs.where(F.length(text_col) <= row_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = F.broadcast(chosen[0].union(chosen[1]))  # 2 * (toxic_rows + other_rows) rows at most
-    found = sorted(text.join(ids, "id").collect(), key=lambda r: (r.h, r.id, r.text))
+    one = text.join(ids, "id").groupBy("id", "y", "h").agg(F.min("text").alias("text"))  # no more rows than ids, of row_chars at most
+    found = sorted(one.collect(), key=lambda r: (r.h, r.id, r.text))
     sample = [[r for r in found if r.y == y][:n] for y, n in ((1, toxic_rows), (0, other_rows))]
     sample = sorted(sample[0] + sample[1], key=lambda r: (r.h, r.id, r.text))
     return train([r.text.encode() for r in sample], [r.y for r in sample])

@@ -3,8 +3,9 @@ import random
 import re
 
 import duckdb
+import pytest
 
-from loomwright.llm import decontaminate
+from loomwright.llm import arrow, decontaminate
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -44,10 +45,14 @@ def test_documents_against_sql_and_brute_force(spark):
     assert sorted(got) == sorted((d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0) for d, n, h, i in plain)
 
 
-def test_random_texts_with_short_items(spark):
+@pytest.mark.parametrize(("most_bits", "rows"), [(decontaminate.BitTable.MOST_BITS, arrow.BROADCAST_ROWS), (64, 0)])
+def test_random_texts_with_short_items(spark, monkeypatch, most_bits, rows):
+    """Also with a bit table far too small for the benchmark, and with keys that are not broadcast."""
+    monkeypatch.setattr(decontaminate.BitTable, "MOST_BITS", most_bits)
+    monkeypatch.setattr(arrow, "BROADCAST_ROWS", rows)
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
-    docs = [(i, text(rng.randrange(60))) for i in range(50)] + [(50, None), (51, ""), (None, text(30)), (3, text(40)), (3, text(40)), (52, "a, B. " * 3000)]
+    docs = [(i, text(rng.randrange(60))) for i in range(50)] + [(50, None), (51, ""), (None, text(30)), (3, text(40)), (3, text(40)), (52, "a, B. " * 3000), (53, "É a É B ſ" * 5), (54, "é a é b s" * 5)]
     items = [(i, text(rng.choice([0, 1, 2, 3, 7, 8, 9, 10, 11, 14]) if i < 4 else rng.choice([7, 8, 9, 10, 11, 14]))) for i in range(12)] + [(20, None)]
     for chosen in (items, items[6:], [(20, None)]):
         df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, words int")
