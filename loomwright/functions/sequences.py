@@ -54,7 +54,7 @@ def flip(s: Column, key: Column, seed: int = 0, p: float = 0.5) -> Column:
 
 
 def _draw(seed: int, key: Column, i: Column, salt: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(salt), F.lit(seed), key, i), F.lit(1 << 32))
+    return hash_number(salt, seed, key, i)
 
 
 def noise(s: Column, key: Column, p: float = 0.1, seed: int = 0, alphabet: str = RESIDUES) -> Column:
@@ -152,7 +152,7 @@ def roll(tokens: Column, shift: Column | int) -> Column:
 def random_roll(tokens: Column, key: Column, max_fraction: float, seed: int = 0) -> Column:
     """roll() by less than the fraction of the length; no shift where that is below one."""
     most = F.floor(F.size(tokens) * max_fraction).cast("int")
-    return F.when(most > 0, roll(tokens, F.pmod(F.xxhash64(F.lit("roll"), F.lit(seed), key), most).cast("int"))).otherwise(tokens)
+    return F.when(most > 0, roll(tokens, F.pmod(hash_number("roll", seed, key), most).cast("int"))).otherwise(tokens)
 
 
 def dropout(tokens: Column, key: Column, p: float, value: int = 0, seed: int = 0) -> Column:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.random import hash_number
 from ..staging import stage
 from .relational import first_wins
 
@@ -41,7 +40,7 @@ def kmer_clusters(df: DataFrame, key: str, sequence: str, k: int = 5, per_sequen
     """(center, id), in the manner of linear-time clustering: each sequence's smallest k-mer hashes group it with others; the longest of a group is the candidate center.
 
     Equal sequences are one. A sequence joins the longest candidate that covers enough of it and shares enough
-    letters; one that is itself a center of others stays. Centers are at most one hop away. Every sequence has one row.
+    letters, of those that are centers. Centers are at most one hop away. Every sequence has one row.
     """
     known = df.where(F.length(sequence) > 0).select(F.col(key).alias("id"), F.col(sequence).alias("s"))
     copies = stage(known.groupBy("s").agg(F.min("id").alias("rep")), "representatives").withColumn("n", F.length("s"))
@@ -54,39 +53,42 @@ def kmer_clusters(df: DataFrame, key: str, sequence: str, k: int = 5, per_sequen
     text = copies.select("rep", "s")
     sided = covered.join(text, "rep").join(text.select(F.col("rep").alias("center"), F.col("s").alias("t")), "center")
     good = stage(sided.where(identity("s", "t") >= least_identity).select("rep", "center", "center_n"), "links")
-    best = good.groupBy("rep").agg(F.min_by("center", F.struct(-F.col("center_n"), "center")).alias("center"))
-    best = stage(best, "best")
-    # a center that would join another is one no more: its members go to themselves, unless the other is a center still
-    still = best.join(best.select(F.col("rep").alias("center")), "center", "left_anti")
-    placed = copies.select("rep", "s").join(still, "rep", "left").select("s", F.coalesce("center", "rep").alias("center"))
+    placed = copies.select("rep", "s").join(_joined(good), "rep", "left").select("s", F.coalesce("center", "rep").alias("center"))
     return known.join(stage(placed, "placed"), "s").select("center", "id")
 
 
-def representatives(clusters: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Rows of df that are centers."""
-    return df.join(clusters.select(F.col("center").alias(key)).distinct(), key, "left_semi")
+def _joined(links: DataFrame) -> DataFrame:
+    """(rep, center) of the sequences that join one, of links to longer ones, or as long and with a smaller rep.
 
+    A sequence without a link to a center is a center; each other joins the longest that it has a link to. Each round
+    settles those whose candidates are all settled, until nothing is left, so that no verified link to a center is lost.
+    """
+    open_ = links
+    settled = None
+    while not open_.isEmpty():
+        waiting = open_.select(F.col("rep").alias("center")).distinct()
+        # candidates that wait for nothing, and have not joined another, are centers
+        free = open_.select("center").distinct().join(waiting, "center", "left_anti")
+        won = stage(open_.join(free, "center").groupBy("rep").agg(F.min_by("center", F.struct(-F.col("center_n"), "center")).alias("center")), "won")
+        settled = won if settled is None else settled.union(won)
+        # who has joined is no candidate any more, and links to settled sequences are of no more use
+        gone = won.select(F.col("rep").alias("center"))
+        open_ = stage(open_.join(won.select("rep"), "rep", "left_anti").join(gone, "center", "left_anti"), "open_links")
+    return links.select("rep", "center").limit(0) if settled is None else settled
 
-def kmers_of(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """(id, vector): counts of hashed k-mers, for a fixed width."""
-    import numpy as np
-    import zlib
 
-    for batch in batches:
-        out = []
-        for s in batch["s"]:
-            v = np.zeros(64)
-            for i in range(len(s or "") - k + 1):
-                v[zlib.crc32(s[i : i + k].encode()) % 64] += 1
-            out.append(v)
-        yield pd.DataFrame({"s": batch["s"], "vector": out})
+def representatives(clusters: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """Rows of df that are centers."""
+    return df.join(clusters.select(F.col("center").alias(key)).distinct(), key, "left_semi")
 
 
-def kmer_features(df: DataFrame, sequence: str, k: int = 3) -> DataFrame:
-    """df with vector: 64 counts of hashed k-mers, computed once for each distinct sequence."""
-    values = df.where(F.col(sequence).isNotNull()).select(F.col(sequence).alias("s")).distinct()
-    found = values.mapInPandas(lambda batches: kmers_of(batches, k), "s string, vector array<double>")
-    return df.join(found.withColumnRenamed("s", "_s"), F.col(sequence) == F.col("_s"), "left").drop("_s")
+def kmer_features(df: DataFrame, sequence: str, k: int = 3, width: int = 64) -> DataFrame:
+    """df with vector: counts of k-mers hashed (MD5) to a width, computed once for each distinct sequence; null for null."""
+    values = df.where(F.col(sequence).isNotNull()).select(F.col(sequence).alias("_s")).distinct()
+    places = F.transform(F.sequence(F.lit(1), F.length("_s") - k + 1), lambda i: F.pmod(hash_number(F.substring(F.col("_s"), i, F.lit(k))), F.lit(width)))
+    held = values.withColumn("_at", F.when(F.length("_s") >= k, places).otherwise(F.array().cast("array<bigint>")))
+    counted = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.size(F.filter("_at", lambda x: x == j)).cast("double"))
+    return df.join(held.select("_s", counted.alias("vector")), F.col(sequence) == F.col("_s"), "left").drop("_s")
 
 
 def dedup(df: DataFrame, sequence: str, order: list[str]) -> DataFrame:

@@ -107,8 +107,12 @@ def subset_window(df: DataFrame, key: str, size: int, epoch: int, mode: str = "f
     return number_rows(df, [key], "_n").where((F.col("_n") >= start) & (F.col("_n") < start + size)).drop("_n")
 
 
-def weighted_classes(df: DataFrame, label: str, weights: Mapping, seed: int = 0) -> DataFrame:
-    """A sample in which classes stand in proportion to their weights, as large as the rows allow."""
+def weighted_classes(df: DataFrame, label: str, weights: Mapping, key: str, seed: int = 0) -> DataFrame:
+    """A sample in which classes stand in proportion to their weights, as large as the rows allow; rows are drawn by a hash of their key."""
     counts = {r[label]: r["count"] for r in df.where(F.col(label).isin(list(weights))).groupBy(label).count().collect()}
     scale = min((counts[c] / w for c, w in weights.items() if w and counts.get(c)), default=0)
-    return df.sampleBy(label, {c: min(1.0, scale * w / counts[c]) for c, w in weights.items() if counts.get(c)}, seed)
+    share = F.lit(0.0)
+    for c, w in weights.items():
+        if counts.get(c):
+            share = F.when(F.col(label) == c, min(1.0, scale * w / counts[c])).otherwise(share)
+    return df.where(hash_unit(seed, F.col(key)) < share)

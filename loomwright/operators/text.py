@@ -12,8 +12,12 @@ from ..staging import stage
 
 
 def character_histogram(df: DataFrame, column: str) -> DataFrame:
-    """(character, n) over all rows, trailing blanks aside."""
-    return df.select(F.explode(characters(F.rtrim(column))).alias("character")).groupBy("character").agg(F.count("*").alias("n"))
+    """(character, n) over all rows, trailing blanks aside: pieces between blanks are counted first, and then their characters."""
+    pieces = df.select(F.split(F.rtrim(column), " ").alias("pieces"))
+    counted = pieces.select(F.explode("pieces").alias("piece")).where("piece <> ''").groupBy("piece").agg(F.count("*").alias("n"))
+    of_pieces = counted.select(F.explode(characters(F.col("piece"))).alias("character"), "n").groupBy("character").agg(F.sum("n").alias("n"))
+    blanks = pieces.agg(F.sum(F.size("pieces") - 1).alias("n")).where("n > 0").select(F.lit(" ").alias("character"), "n")
+    return of_pieces.union(blanks)
 
 
 def word_counts(df: DataFrame, column: str) -> DataFrame:

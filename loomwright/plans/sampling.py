@@ -82,9 +82,12 @@ def subset_window(spark, d):
     return S.subset_window(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 100, 2)
 
 
-@query("weighted_classes")
+@query("weighted_classes", """
+WITH n AS (SELECT toxic, count(*) AS n FROM labels WHERE toxic IN (0, 1) GROUP BY toxic), s AS (SELECT min(n / 0.5::DOUBLE) AS scale FROM n)
+SELECT l.* FROM labels l JOIN n ON l.toxic = n.toxic, s WHERE ('0x' || substr(md5('0:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < least(1, scale * 0.5::DOUBLE / n)
+""")
 def weighted_classes(spark, d):
-    return S.weighted_classes(table(spark, d, "labels"), "toxic", {0: 0.5, 1: 0.5})
+    return S.weighted_classes(table(spark, d, "labels"), "toxic", {0: 0.5, 1: 0.5}, "doc_id")
 
 
 @query("exact_dedup_clusters", "SELECT min(doc_id) OVER (PARTITION BY text) AS center, doc_id AS id FROM documents WHERE text IS NOT NULL")
@@ -97,9 +100,13 @@ def kmer_clusters(spark, d):
     return C.kmer_clusters(table(spark, d, "part"), "p_partkey", "p_name", k=4)
 
 
-@query("kmer_features")
+@query("kmer_features", """
+WITH k AS (SELECT p_partkey, p_name, [('0x' || substr(md5(substr(p_name, i, 3)), 1, 8))::BIGINT % 64 FOR i IN range(1, length(p_name) - 1)] AS hs FROM part)
+SELECT p_partkey, p_name, array_to_string([len([x FOR x IN hs IF x = j]) FOR j IN range(64)], ',') AS vector FROM k
+""")
 def kmer_features(spark, d):
-    return C.kmer_features(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
+    out = C.kmer_features(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
+    return out.withColumn("vector", F.array_join(F.transform("vector", lambda x: x.cast("int")), ","))
 
 
 @query("dedup_by_sequence", "SELECT min(p_partkey) AS p_partkey, p_name FROM part GROUP BY p_name")

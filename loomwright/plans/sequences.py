@@ -30,17 +30,25 @@ def augment_flip(spark, d):
     return _parts(spark, d).select("p_partkey", Q.flip(F.col("seq"), F.col("p_partkey"), 3).alias("seq"))
 
 
-@query("augment_noise")
+#: The draw of an element, numbered from 1 in SQL and from 0 in the columns.
+def _d(salt: str, key: str) -> str:
+    return f"('0x' || substr(md5('{salt}:0:' || {key} || ':' || (i - 1)), 1, 8))::BIGINT"
+
+
+@query("augment_noise", f"SELECT p_partkey, array_to_string([CASE WHEN {_d('noise', 'p_partkey')} < 429496729 THEN substr('ACDEFGHIKLMNPQRSTVWY', ({_d('letter', 'p_partkey')} % 20 + 1)::BIGINT, 1) ELSE c END FOR c, i IN string_split({_SEQ}, '')], '') AS seq FROM part")
 def augment_noise(spark, d):
     return _parts(spark, d).select("p_partkey", Q.noise(F.col("seq"), F.col("p_partkey"), 0.1).alias("seq"))
 
 
-@query("augment_site_noise")
+@query("augment_site_noise", f"""
+SELECT s_suppkey, array_to_string([CASE WHEN c <= 'Z' AND {_d('noise', 's_suppkey')} < 858993459 THEN substr('ACDEFGHIKLMNPQRSTVWY', ({_d('letter', 's_suppkey')} % 20 + 1)::BIGINT, 1)
+  WHEN c > 'Z' AND {_d('noise', 's_suppkey')} < 214748364 THEN lower(substr('ACDEFGHIKLMNPQRSTVWY', ({_d('letter', 's_suppkey')} % 20 + 1)::BIGINT, 1)) ELSE c END FOR c, i IN string_split(s_name, '')], '') AS seq FROM supplier
+""")
 def augment_site_noise(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", Q.site_noise(F.col("s_name"), F.col("s_suppkey"), 0.05, 0.2).alias("seq"))
 
 
-@query("augment_run_flip")
+@query("augment_run_flip", f"SELECT c_custkey, array_to_string([CASE WHEN r[1] <= 'Z' AND {_d('run', 'c_custkey')} < 2147483648 THEN reverse(r) ELSE r END FOR r, i IN regexp_extract_all(c_name, '[\\x00-Z]+|[^\\x00-Z]+')], '') AS seq FROM customer")
 def augment_run_flip(spark, d):
     return table(spark, d, "customer").select("c_custkey", Q.flip_runs(F.col("c_name"), F.col("c_custkey")).alias("seq"))
 
@@ -99,12 +107,30 @@ def roll_tokens(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(Q.roll(Q.characters(F.col("p_name")), 3), "").alias("rolled"))
 
 
-@query("token_augmentations")
+_SWAP = "(n > 0 AND {k} >= 0 AND {k} < n - 1 AND {d} < 858993459 AND NOT ({k} > 0 AND {b} < 858993459))"
+
+
+def _swaps(k: str) -> str:
+    draw = lambda at: f"('0x' || substr(md5('swap:0:' || p_partkey || ':' || ({at})), 1, 8))::BIGINT"
+    return _SWAP.format(k=f"({k})", d=draw(k), b=draw(f"{k} - 1"))
+
+
+@query("token_augmentations", f"""
+WITH t AS (SELECT p_partkey, [coalesce({_VOCAB}[t], 4) FOR t IN string_split(upper(replace(p_name, ' ', '')), '')] AS ids FROM part),
+u AS (SELECT *, len(ids) AS n, floor(len(ids) * 0.5::DOUBLE)::BIGINT AS most FROM t),
+v AS (SELECT *, CASE WHEN most > 0 THEN ('0x' || substr(md5('roll:0:' || p_partkey), 1, 8))::BIGINT % most ELSE 0 END AS k FROM u)
+SELECT p_partkey, array_to_string([CASE WHEN {_d('drop', 'p_partkey')} < 429496729 THEN 4 ELSE x END FOR x, i IN ids], ',') AS dropped,
+  array_to_string([CASE WHEN {_d('override', 'p_partkey')} < 429496729 THEN 5 + {_d('value', 'p_partkey')} % 3 ELSE x END FOR x, i IN ids], ',') AS overridden,
+  array_to_string([CASE WHEN {_swaps('i - 1')} THEN ids[i + 1] WHEN {_swaps('i - 2')} THEN ids[i - 1] ELSE x END FOR x, i IN ids], ',') AS swapped,
+  array_to_string(list_concat(ids[n - k + 1:n], ids[1:n - k]), ',') AS shifted
+FROM v
+""")
 def token_augmentations(spark, d):
     ids = table(spark, d, "part").select("p_partkey", Q.token_ids(F.upper("p_name"), Q.RESIDUE_VOCABULARY).alias("ids"))
     key = F.col("p_partkey")
     x = F.col("ids")
-    return ids.select("p_partkey", Q.dropout(x, key, 0.1, 4).alias("dropped"), Q.override(x, key, 0.1, [5, 6, 7]).alias("overridden"), Q.swap_adjacent(x, key, 0.2).alias("swapped"), Q.random_roll(x, key, 0.5).alias("shifted"))
+    made = {"dropped": Q.dropout(x, key, 0.1, 4), "overridden": Q.override(x, key, 0.1, [5, 6, 7]), "swapped": Q.swap_adjacent(x, key, 0.2), "shifted": Q.random_roll(x, key, 0.5)}
+    return ids.select("p_partkey", *[F.array_join(v, ",").alias(n) for n, v in made.items()])
 
 
 @query("logits_to_seq", "SELECT vec_id, substr('ACDEFGHIKLMNPQRSTVWY', (list_position(embedding, list_max(embedding)) - 1) % 20 + 1, 1) AS seq FROM embeddings")

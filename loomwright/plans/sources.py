@@ -19,7 +19,7 @@ def scan_star(spark, d):
 @query("scan_text_ordinal", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_name AS line FROM part")
 def scan_text_ordinal(spark, d):
     path = fresh_dir(spark, "lines")
-    table(spark, d, "part").orderBy("p_partkey").select(F.col("p_name").alias("value")).coalesce(1).write.text(path)
+    table(spark, d, "part").orderBy("p_partkey").select(F.col("p_name").alias("value")).write.text(path)  # several files, in order
     return text.read_lines(spark, path)
 
 

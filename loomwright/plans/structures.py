@@ -60,7 +60,7 @@ def spatial_crop(spark, d):
     return G.spatial_crop(_points(spark, d), "complex", "chain", "vec_id", 40, 0.05)
 
 
-@query("superposition")
+@query("superposition", f"SELECT complex, count(*) AS n, 0.0::DOUBLE AS rmsd FROM {_POINTS} GROUP BY complex")  # the same points, turned and moved
 def superposition(spark, d):
     p = _points(spark, d)
     turned = p.withColumns({"x": -F.col("y") + 1, "y": F.col("x") - 2, "z": F.col("z") + 3})

@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..staging import shared_dir
 
@@ -55,11 +55,38 @@ def export(df: DataFrame, path: str, separator: str = "\t", rows_per_file: int |
     return True
 
 
-def cached(spark: SparkSession, name: str, function, /, rebuild: bool = False, **arguments) -> DataFrame:
-    """function(**arguments), kept as Parquet in the shared folder under a hash of its name and arguments."""
-    key = hashlib.sha256(json.dumps([name, arguments], sort_keys=True, default=str).encode()).hexdigest()[:24]
-    path = f"{shared_dir(spark)}/loomwright/cached/{name}-{key}"
+def _finished(spark: SparkSession, path: str) -> bool:
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if rebuild or not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def cached(spark: SparkSession, name: str, function, /, rebuild: bool = False, version: str = "", **arguments) -> DataFrame:
+    """function(**arguments), kept as Parquet in the shared folder under a hash of its name, a version and its arguments.
+
+    Arguments must be plain values, as JSON has them: others, DataFrames among them, are refused with a TypeError, as two
+    of them cannot be told apart by their names. What a function reads besides its arguments belongs into version, such
+    as a content_hash of a table.
+    """
+    key = hashlib.sha256(json.dumps([name, version, arguments], sort_keys=True).encode()).hexdigest()[:24]
+    path = f"{shared_dir(spark)}/loomwright/cached/{name}-{key}"
+    if rebuild or not _finished(spark, path):
         function(**arguments).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def content_hash(df: DataFrame) -> str:
+    """A hash of all rows of a table, repeats counted, whatever their order: two sums of row hashes, and the number of rows."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    sums = df.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")), F.lit(0)).alias(f"s{seed}") for seed in (1, 2)]).first()
+    return hashlib.sha256(f"{df.columns}:{sums.n}:{sums.s1}:{sums.s2}".encode()).hexdigest()
+
+
+def guarded(df: DataFrame, path: str, function, rebuild: bool = False) -> DataFrame:
+    """function(df), kept at path beside the content hash of df; a ValueError if path was made from other rows."""
+    spark, content = df.sparkSession, content_hash(df)
+    if rebuild or not _finished(spark, f"{path}/content"):
+        function(df).write.mode("overwrite").parquet(f"{path}/result")
+        spark.createDataFrame([(content,)], "hash string").write.mode("overwrite").parquet(f"{path}/content")
+    elif spark.read.parquet(f"{path}/content").first().hash != content:
+        raise ValueError(f"{path} was made from other rows")
+    return spark.read.parquet(f"{path}/result")

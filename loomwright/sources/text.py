@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 
 def numbered(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """df with the record's number from 0, in the order of partitions and of records in them.
+    """df, which comes straight from files, with the record's number from 0, in the order of the files' paths and of records in them.
 
-    Counts a partition's records in a pass of its own; only one row a partition is gathered.
+    Counts the records of each part of a file in a pass of its own; only one row a part is gathered.
     """
-    marked = df.withColumn("_at", F.monotonically_increasing_id())
-    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    out = marked.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row a partition
-    return out.withColumn(name, F.col("_start") + inside).drop("_at", "_part", "_start")
+    at = F.monotonically_increasing_id()
+    marked = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), at.alias("_at"))
+    counts = marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a part of a file
+    starts = counts.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = marked.join(F.broadcast(starts), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return out.withColumn(name, F.col("_start") + F.col("_at") - F.col("_first")).drop("_file", "_block", "_at", "_f", "_b", "_first", "_start")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

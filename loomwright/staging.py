@@ -17,9 +17,11 @@ _OWN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder below /tmp only where that is unset (tests, one machine)."""
+    """The folder named by spark.checkpoint.dir; a folder below /tmp only where that is unset on one machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = f"/tmp/checkpoints/loomwright-{spark.sparkContext.applicationId}"
         if own not in _OWN:
             _OWN.add(own)

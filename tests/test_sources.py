@@ -132,3 +132,31 @@ def test_sql_tables_and_export(spark, tmp_path):
         return spark.range(n)
 
     assert [tables.cached(spark, f"t{os.getpid()}", make, n=n).count() for n in (3, 3, 4)] == [3, 3, 4] and calls == [3, 4]
+
+
+def test_cached_refuses_tables_and_tells_versions_apart(spark):
+    make = lambda n: spark.range(n)
+    name = f"v{os.getpid()}"
+    assert tables.cached(spark, name, make, n=2).count() == 2
+    assert tables.cached(spark, name, lambda n: spark.range(n + 1), version="b", n=2).count() == 3
+    with pytest.raises(TypeError):
+        tables.cached(spark, name, lambda df: df, df=spark.range(3))
+
+
+def test_guarded_result_belongs_to_its_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id long, s string")
+    path = f"file://{tmp_path}/g"
+    assert tables.guarded(df, path, lambda x: x.distinct()).count() == 2
+    assert tables.guarded(df.orderBy("s").repartition(3), path, None).count() == 2
+    for other in (df.distinct(), df.where("id = 1"), df.withColumnRenamed("s", "t")):
+        with pytest.raises(ValueError):
+            tables.guarded(other, path, lambda x: x)
+    assert tables.guarded(df.where("id = 1"), path, lambda x: x, rebuild=True).count() == 1
+
+
+def test_ordinals_over_several_files(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("3\n4\n")
+    (tmp_path / "a.txt").write_text("0\n1\n2\n")
+    (tmp_path / "c.txt").write_text("".join(f"{i}\n" for i in range(5, 900)))
+    got = text.read_lines(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.row_idx, r.line) for r in got) == [(i, str(i)) for i in range(900)]
