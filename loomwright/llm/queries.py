@@ -12,7 +12,6 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op6_simhash_near_dedup": simhash.op6,
     "op7_source_mixing": mixing.op7,
-    "op4_substring_dedup": substring.OP4_SQL,
     "op8_line_dedup": lines.op8,
     "op9_license_scan": licenses.op9,
     "op10_top_k": topk.op10,
