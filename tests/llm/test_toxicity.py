@@ -51,3 +51,52 @@ def test_rows_of_a_word():
     rows, owner = toxicity.subwords([b"idiot", b"...", b"a"])
     assert set(owner.tolist()) == {0, 1, 2} and rows.max() < toxicity.BUCKETS
     assert (owner == 0).sum() == 1 + 5 + 4 + 3
+
+
+def plain_score(model, text):
+    """One word and one segment after another, in Python numbers."""
+    words = text.lower().split()
+    words = [w for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
+    best = None
+    for lo in range(0, len(words), toxicity.SEGMENT):
+        total, n = 0.0, 0
+        for w in words[lo : lo + toxicity.SEGMENT]:
+            bare = b"<" + (w.strip(toxicity._EDGES) or w) + b">"
+            hashes = [zlib.crc32(bare)]
+            for size in toxicity.GRAMS:
+                for at in range(len(bare) - size + 1):
+                    h = bare[at]
+                    for b in bare[at + 1 : at + size]:
+                        h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+                    hashes.append(h ^ size)
+            for h in hashes:
+                total += float(model.weight[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - toxicity.BUCKET_BITS])
+            n += len(hashes)
+        best = total / n if best is None else max(best, total / n)
+    z = model.scale * (model.bias + (best or 0.0)) + model.shift
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_scores_against_a_plain_version(spark):
+    rows = corpus(300)
+    model = toxicity.train([t.encode() for _, t, _ in rows], [y for *_, y in rows])
+    texts = [t for _, t, _ in corpus(60, seed=5)] + ["", "...", "a", "Idiot! IDIOT idiot", "ä ö worthleß", "x " * 50, "w" * 5000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, model).collect():
+        assert abs(r.tox_score - plain_score(model, (texts[r.tox_id] or "").encode())) < 1e-6
+
+
+def test_few_toxic_rows():
+    rows = corpus(120)  # 30 toxic rows
+    model = toxicity.train([t.encode() for _, t, _ in rows], [y for *_, y in rows])
+    held = corpus(400, seed=9)
+    scores, y = model.scores([t.encode() for _, t, _ in held]), np.array([v for *_, v in held])
+    assert (scores[y == 1] >= 0.7).mean() > 0.9 and (scores[y == 0] >= 0.7).mean() < 0.05
+
+
+def test_repeated_ids_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(60)] * 3 + [(1, "idiot")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus(60)] * 2 + [(3, 1), (5, 7)], "doc_id long, toxic int")
+    once = toxicity.fit(docs.distinct(), labels.distinct())
+    many = toxicity.fit(docs, labels)
+    assert np.array_equal(once.weight, many.weight) and (once.scale, once.shift) == (many.scale, many.shift)
