@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .random import hash_number
+
 try:
     from rdkit import Chem
 except ImportError:  # optional
     Chem = None
+try:
+    import selfies
+except ImportError:  # optional
+    selfies = None
 
 
 @F.pandas_udf(T.BooleanType())
@@ -55,6 +62,57 @@ def canonical_smiles(s: Column) -> Column:
     return _canonical(s)
 
 
+def plain_smiles(s: Column, sanitize: bool = True, canonical: bool = False) -> Column:
+    """SMILES read and written again, in the atoms' own order unless canonical; null where the molecule cannot be read. Needs the toolkit."""
+    if Chem is None:
+        raise ImportError("reading SMILES needs rdkit")
+
+    @F.pandas_udf(T.StringType())
+    def convert(values: pd.Series) -> pd.Series:
+        read = values.map(lambda x: None if x is None else Chem.MolFromSmiles(x, sanitize=sanitize))
+        return read.map(lambda m: None if m is None else Chem.MolToSmiles(m, canonical=canonical))
+
+    return convert(s)
+
+
+def shuffled_smiles(s: Column, key: Column, seed: int = 0) -> Column:
+    """The molecule with its atoms in an order drawn from key and seed, null where it cannot be read. Needs the toolkit."""
+    if Chem is None:
+        raise ImportError("renumbering atoms needs rdkit")
+
+    @F.pandas_udf(T.StringType())
+    def convert(values: pd.Series, draws: pd.Series) -> pd.Series:
+        out = []
+        for x, draw in zip(values, draws, strict=True):
+            mol = None if x is None else Chem.MolFromSmiles(x)
+            order = None if mol is None else np.random.default_rng(draw).permutation(mol.GetNumAtoms()).tolist()
+            out.append(None if mol is None else Chem.MolToSmiles(Chem.RenumberAtoms(mol, order), canonical=False))
+        return pd.Series(out, dtype="object")
+
+    return convert(s, hash_number(F.lit(str(seed)), key.cast("string")))
+
+
+def to_selfies(s: Column) -> Column:
+    """SELFIES of SMILES; needs the selfies package."""
+    return _by_package(s, "encoder")
+
+
+def from_selfies(s: Column) -> Column:
+    """SMILES of SELFIES; needs the selfies package."""
+    return _by_package(s, "decoder")
+
+
+def _by_package(s: Column, name: str) -> Column:
+    if selfies is None:
+        raise ImportError("SELFIES need the selfies package")
+
+    @F.pandas_udf(T.StringType())
+    def convert(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else getattr(selfies, name)(x))
+
+    return convert(s)
+
+
 def is_sanitizable(s: Column) -> Column:
     """Whether the toolkit takes the molecule; without it, the weaker check of is_well_formed."""
     return _well_formed(s) if Chem is None else _canonical(s).isNotNull()

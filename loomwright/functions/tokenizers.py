@@ -22,16 +22,22 @@ def _encoder(load, size: int | None, pad_id: int):
     return encode
 
 
-def json_tokenizer(path: str, size: int | None = None, pad_id: int = 0):
+def json_tokenizer(path: str, size: int | None = None, pad_id: int = 0, **components):
     """A function of a text column to struct(ids, mask, overflow): the tokenizer of a JSON file, ids cut or padded to size.
 
-    overflow is the number of tokens cut. The file is read on the executors, so it must be there.
+    overflow is the number of tokens cut. The file is read on the executors, so it must be there. Components replace the
+    file's: normalizer, pre_tokenizer, post_processor, decoder, each a function without arguments that makes one.
     """
+    if unknown := set(components) - {"normalizer", "pre_tokenizer", "post_processor", "decoder"}:
+        raise ValueError(f"no components of a tokenizer: {sorted(unknown)}")
 
     def load():
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        for name, make in components.items():
+            setattr(tokenizer, name, make())
+        return tokenizer
 
     return _encoder(load, size, pad_id)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -25,9 +26,10 @@ def _same_letters(a: str, b: str) -> float:
     at = long.find(short)
     if at >= 0:
         return 1.0
-    best = 0
-    for shift in range(len(long) - len(short) + 1):
-        best = max(best, sum(x == y for x, y in zip(short, long[shift:], strict=False)))
+    s, t = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (short, long))
+    windows = np.lib.stride_tricks.sliding_window_view(t, len(s))
+    step = max(1, (1 << 20) // len(s))  # windows compared at once
+    best = max(int((windows[i : i + step] == s).sum(axis=1).max()) for i in range(0, len(windows), step))
     return best / len(short)
 
 

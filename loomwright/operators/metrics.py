@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -147,3 +149,32 @@ def place_aligner(least_run: int = 1, **scores):
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows drawn by a hash of the key."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def random_feature_mean(df: DataFrame, column: str, width: int, sigma: float = 7.0, features: int = 500, seed: int = 0) -> DataFrame:
+    """(feature, mean): the mean over df of random cosine features of a Gaussian kernel, drawn from the seed. Null vectors take no part.
+
+    Sums are made where the rows are; features rows a partition are shuffled.
+    """
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(size=(width, features)) / sigma, rng.uniform(0, 2 * np.pi, features)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros(features), 0
+        for batch in batches:
+            if len(batch):
+                total += np.cos(np.stack(batch["z"]).astype(float) @ w + b).sum(axis=0)
+                n += len(batch)
+        yield pd.DataFrame({"feature": np.arange(features), "total": total, "n": n})
+
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).alias("z"))
+    parts = known.mapInPandas(sums, "feature int, total double, n long")
+    mean = F.sum("total") / F.nullif(F.sum("n"), F.lit(0)) * F.lit(float(np.sqrt(2 / features)))
+    return parts.groupBy("feature").agg(mean.alias("mean"))
+
+
+def mean_discrepancy(a: DataFrame, b: DataFrame, column: str, width: int, sigma: float = 7.0, features: int = 500, seed: int = 0) -> DataFrame:
+    """One row: the squared maximum mean discrepancy of two tables' vectors by random features; null if either has none."""
+    means = [random_feature_mean(df, column, width, sigma, features, seed) for df in (a, b)]
+    both = means[0].alias("a").join(means[1].alias("b"), "feature")
+    return both.agg(F.sum((F.col("a.mean") - F.col("b.mean")) ** 2).alias("mmd"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import labels, sequences as Q, vectors
+from ..functions import labels, sequences as Q, tables, vectors
 from ..operators import text as T
 from .registry import query, table
 
@@ -217,3 +217,9 @@ def focal_loss(spark, d):
 @query("anneal", "SELECT event_id, round(0.1 + least(greatest((event_id - 1000) / 5000.0::DOUBLE, 0), 1) * 0.9, 9) AS weight FROM events")
 def anneal(spark, d):
     return table(spark, d, "events").select("event_id", F.round(vectors.anneal(F.col("event_id"), 1000, 6000, 0.1, 1.0), 9).alias("weight"))
+
+
+@query("kmer_table", "SELECT kmer, count(*) AS n, min(place) AS first_place FROM (SELECT i - 1 AS place, substring(p_name, i, 5) AS kmer FROM (SELECT p_name, unnest(range(1, length(p_name) - 3)) AS i FROM part)) GROUP BY kmer")
+def kmer_table(spark, d):
+    tables.register(spark)
+    return spark.sql("SELECT kmer, count(*) AS n, min(place) AS first_place FROM {part}, LATERAL kmers(p_name, 5) GROUP BY kmer", part=table(spark, d, "part"))

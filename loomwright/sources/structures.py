@@ -99,10 +99,18 @@ def _cif_rows(text: str) -> Iterator[dict]:
         return
 
 
+def _cif_atoms(file: str, content: bytes, kind: str) -> list[tuple]:
+    found = _cif_rows((gzip.decompress(content) if file.endswith(".gz") else content).decode())
+    return [(file, int(r["id"]), int(r.get("pdbx_PDB_model_num") or 1) - 1, r.get(f"{kind}_asym_id"), int(r[f"{kind}_seq_id"]) if r.get(f"{kind}_seq_id") else None, r.get("pdbx_PDB_ins_code") or "", r[f"{kind}_comp_id"] if r.get(f"{kind}_comp_id") else r.get("label_comp_id"), r.get("label_atom_id"), *(float(r[f"Cartn_{c}"]) for c in "xyz"), float(r.get("occupancy") or 1), float(r.get("B_iso_or_equiv") or 0), r.get("type_symbol"), r.get("group_PDB") == "HETATM") for r in found]
+
+
+_UNREADABLE = (ValueError, KeyError, TypeError, OSError, EOFError)
+
+
 def read_mmcif(spark: SparkSession, path: str | list[str], author_ids: bool = True, max_bytes: int = 256 << 20) -> DataFrame:
     """The atom table of mmCIF files, plain or .gz, with the author's ids or those of the data bank.
 
-    Files above max_bytes and files that cannot be parsed have no rows.
+    Files above max_bytes and files that cannot be parsed have no rows; unread_mmcif lists them.
     """
     kind = "auth" if author_ids else "label"
 
@@ -111,15 +119,44 @@ def read_mmcif(spark: SparkSession, path: str | list[str], author_ids: bool = Tr
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    found = list(_cif_rows((gzip.decompress(content) if file.endswith(".gz") else content).decode()))
-                    rows = [(file, int(r["id"]), int(r.get("pdbx_PDB_model_num") or 1) - 1, r.get(f"{kind}_asym_id"), int(r[f"{kind}_seq_id"]) if r.get(f"{kind}_seq_id") else None, r.get("pdbx_PDB_ins_code") or "", r[f"{kind}_comp_id"] if r.get(f"{kind}_comp_id") else r.get("label_comp_id"), r.get("label_atom_id"), *(float(r[f"Cartn_{c}"]) for c in "xyz"), float(r.get("occupancy") or 1), float(r.get("B_iso_or_equiv") or 0), r.get("type_symbol"), r.get("group_PDB") == "HETATM") for r in found]
-                except (ValueError, KeyError, OSError, UnicodeDecodeError):
+                    rows = _cif_atoms(file, content, kind)
+                except _UNREADABLE:
                     continue
                 yield pd.DataFrame(rows, columns=columns).astype({"res_seq": "Int32"})
 
     return spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes).select("path", "content").mapInPandas(parse, ATOM)
 
 
+def unread_mmcif(spark: SparkSession, path: str | list[str], author_ids: bool = True, max_bytes: int = 256 << 20) -> DataFrame:
+    """(file, reason) of the files that read_mmcif leaves out: too large, or not to be parsed."""
+    kind = "auth" if author_ids else "label"
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            reasons = []
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    _cif_atoms(file, content, kind)
+                except _UNREADABLE as e:
+                    reasons.append((file, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(reasons, columns=["file", "reason"])
+
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > max_bytes).select(F.col("path").alias("file"), F.format_string("%d bytes", "length").alias("reason"))
+    return large.union(files.where(F.col("length") <= max_bytes).select("path", "content").mapInPandas(parse, "file string, reason string"))
+
+
+def pick_chains(atoms: DataFrame, chosen: str | int | list[str | int] | None = None) -> DataFrame:
+    """The atoms of chosen chains: names, or places from 0 in a file's sorted names, or a list of both; all for None."""
+    if chosen is None:
+        return atoms
+    chosen = chosen if isinstance(chosen, list) else [chosen]
+    names = atoms.where("chain_id is not null").groupBy("file").agg(F.sort_array(F.collect_set("chain_id")).alias("names"))
+    at = F.array_position("names", F.col("chain_id")) - 1
+    wanted = F.col("chain_id").isin([c for c in chosen if isinstance(c, str)]) | at.isin([c for c in chosen if isinstance(c, int)])
+    return atoms.join(names, "file").where(wanted).select(*atoms.columns)
+
+
 def antibodies(summary: DataFrame, order: str = "row_idx") -> DataFrame:
     """(pdb_id, index_within_pdb, light, heavy, antigen) of the entries of a structure summary with both chains, in model 0; ordinals count all entries of a structure."""
     from pyspark.sql import Window

@@ -56,9 +56,14 @@ def read_table(spark: SparkSession, path: str | list[str], columns: Sequence[str
     return lines.withColumn("f", fields).select("row_idx", *[F.col("f")[i].alias(n) for i, n in enumerate(named)])
 
 
-def read_typed(spark: SparkSession, path: str | list[str], schema: T.StructType | str, separator: str = "\t", header: bool = True) -> DataFrame:
-    """A delimited table of declared types; a malformed line fails."""
-    return spark.read.csv(path, sep=separator, header=header, schema=schema, mode="FAILFAST", enforceSchema=True)
+def read_typed(spark: SparkSession, path: str | list[str], schema: T.StructType | str, separator: str = "\t", header: bool = True, skip_malformed: bool = False) -> DataFrame:
+    """A delimited table of declared types; a line with another number of fields, or with other types, fails or is skipped.
+
+    Every field of a line is parsed for this, whichever columns are used.
+    """
+    mode = "DROPMALFORMED" if skip_malformed else "FAILFAST"
+    df = spark.read.csv(path, sep=separator, header=header, schema=schema, mode=mode, enforceSchema=True)
+    return df.where(F.hash(*df.columns) <= 2**31 - 1)  # always so, but it needs every column
 
 
 def read_smiles(spark: SparkSession, path: str, columns: Sequence[str] | None = ("smiles_string", "smiles_id")) -> DataFrame:

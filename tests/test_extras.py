@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.functions import chemistry, sequences as Q, tokenizers
-from loomwright.operators import geometry, metrics
+from loomwright.functions import chemistry, sequences as Q, tables, tokenizers
+from loomwright.operators import clusters, geometry, metrics
 from loomwright.sources import structures, text
 from tests.test_sources import FASTA, atom, put
 
@@ -78,3 +78,51 @@ def test_structure_extras(spark, tmp_path):
     put(tmp_path / "n.txt", "# c\nH 1 E\nH 2 -\nH 3 V\nL 1 D\n")
     got = structures.numbered_domains(text.read_lines(spark, str(tmp_path / "n.txt")).withColumn("file", F.lit("n"))).first()
     assert (got.heavy, got.light) == ("EV", "D")
+
+
+def test_toolkits_are_optional():
+    for module, make in ((chemistry.Chem, lambda: chemistry.plain_smiles("s")), (chemistry.Chem, lambda: chemistry.shuffled_smiles("s", "k")), (chemistry.selfies, lambda: chemistry.to_selfies("s")), (chemistry.selfies, lambda: chemistry.from_selfies("s"))):
+        if module is None:
+            with pytest.raises(ImportError):
+                make()
+
+
+def test_tokenizer_components(spark):
+    def lower():
+        from tokenizers.normalizers import Lowercase
+
+        return Lowercase()
+
+    df = spark.createDataFrame([("Hello",), ("hello",)], "t string")
+    encode = lambda **c: [r.e.ids for r in df.select(tokenizers.json_tokenizer(VOCABULARY, **c)("t").alias("e")).collect()]
+    plain, lowered = encode(), encode(normalizer=lower)
+    assert plain[0] != plain[1] and lowered[0] == lowered[1] == plain[1]
+    with pytest.raises(ValueError):
+        tokenizers.json_tokenizer(VOCABULARY, model=lower)
+
+
+def test_kmer_table_function(spark):
+    tables.register(spark)
+    spark.createDataFrame([("abcd",), ("ab",), ("",), (None,)], "s string").createOrReplaceTempView("words_of_kmers")
+    rows = spark.sql("SELECT place, kmer FROM words_of_kmers, LATERAL kmers(s, 3)").collect()
+    assert sorted(map(tuple, rows)) == [(0, "abc"), (1, "bcd")]
+
+
+def test_identity_against_every_shift():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice(list("ACé𝒟"), rng.integers(0, 9))) for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        want = max(sum(x == y for x, y in zip(short, long[i:])) for i in range(len(long) - len(short) + 1)) / len(short) if short else 0.0
+        assert clusters._same_letters(a, b) == want
+
+
+def test_mean_discrepancy(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(300, 4)), rng.normal(3, 1, (200, 4))
+    make = lambda x: spark.createDataFrame([(r.tolist(),) for r in x] + [(None,)], "z array<double>")
+    got = metrics.mean_discrepancy(make(a), make(b), "z", 4, sigma=2.0, features=4000).first().mmd
+    kernel = lambda x, y: np.exp(-((x[:, None] - y) ** 2).sum(axis=2) / 8).mean()
+    assert abs(got - (kernel(a, a) + kernel(b, b) - 2 * kernel(a, b))) < 0.05
+    assert metrics.mean_discrepancy(make(a), make(a), "z", 4).first().mmd == 0
+    assert metrics.mean_discrepancy(make(a), make(a[:0]), "z", 4).first().mmd is None

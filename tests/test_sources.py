@@ -107,7 +107,7 @@ def test_data_sources(spark, tmp_path):
         at = len(blob)
     put(tmp_path / "d.ffindex", index)
     path = put(tmp_path / "d.ffdata", blob)
-    got = spark.read.format("ffdata").option("path", path).option("entries_per_partition", "2").load().orderBy("name").collect()
+    got = spark.read.format("ffdata").option("path", path).option("index_bytes", "2").load().orderBy("name").collect()
     assert [(r.name, r["lines"]) for r in got] == [(10, ["a", "b"]), (11, [""]), (12, ["c"])]
     ttl = put(tmp_path / "t.ttl", '@prefix e: <http://e/> .\n# c\ne:a a e:T ; e:p "x \\"y\\""@en , 3 .\n_:b e:q <http://z>, """l\nm"""^^e:d, true .\n')
     rows = spark.read.format("turtle").option("path", ttl).load().collect()
@@ -160,3 +160,56 @@ def test_ordinals_over_several_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text("".join(f"{i}\n" for i in range(5, 900)))
     got = text.read_lines(spark, f"file://{tmp_path}").collect()
     assert sorted((r.row_idx, r.line) for r in got) == [(i, str(i)) for i in range(900)]
+
+
+@pytest.mark.parametrize("index_bytes", [1, 3, 7, 64, 10_000])
+def test_blob_index_by_ranges_of_bytes(spark, tmp_path, index_bytes):
+    datasources.register(spark)
+    blob, index = b"", b""
+    for i in range(60):
+        part = b"x" * (i % 7) + b"\n%d" % i
+        index += b"%d\t%d\t%d\n" % (i, len(blob), len(part) + 1)
+        blob += part + b"\0"
+    put(tmp_path / "d.ffindex", index[:-1] if index_bytes == 7 else index)
+    path = put(tmp_path / "d.ffdata", blob)
+    reader = datasources.FFDataReader({"path": path, "index_bytes": str(index_bytes)})
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert sorted(rows) == [(i, ["x" * (i % 7), str(i)]) for i in range(60)]
+    put(tmp_path / "d.ffindex", b"")
+    assert spark.read.format("ffdata").option("path", path).load().count() == 0
+
+
+def test_turtle_nodes_and_collections():
+    rdf = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+    got = list(datasources.triples('@base <http://e/x/> .\nPREFIX p: <ns#>\n<a> p:of [ p:n 1 ; p:m [ p:k "v" ] ] , () ; p:l ( 2e3 <b> [ p:z true ] ) .\n[ p:q <../c> ] p:r <d> .'))
+    plain = [(s.removeprefix("http://e/x/"), p.removeprefix("http://e/x/ns#").removeprefix(rdf), o.removeprefix(rdf)) for s, p, o, *_ in got]
+    assert plain == [
+        ("_:anon0", "n", "1"), ("_:anon1", "k", "v"), ("_:anon0", "m", "_:anon1"), ("a", "of", "_:anon0"), ("a", "of", "nil"),
+        ("_:anon2", "z", "true"), ("_:anon3", "first", "2e3"), ("_:anon3", "rest", "_:anon4"), ("_:anon4", "first", "http://e/x/b"), ("_:anon4", "rest", "_:anon5"),
+        ("_:anon5", "first", "_:anon2"), ("_:anon5", "rest", "nil"), ("a", "l", "_:anon3"), ("_:anon6", "q", "http://e/c"), ("_:anon6", "r", "http://e/x/d"),
+    ]
+    for bad in ("<a> <b> [ <c> <d> .", "<a> <b> ( 1 ] .", "<a> <b> ] .", "<a> <b> !"):
+        with pytest.raises(ValueError):
+            list(datasources.triples(bad))
+
+
+def test_malformed_lines_are_skipped(spark, tmp_path):
+    path = put(tmp_path / "in.tsv", "a\tb\n1\tx\n2\n3\ty\tz\nq\tw\n4\tv\n")
+    df = text.read_typed(spark, path, "a int, b string", skip_malformed=True)
+    assert sorted(map(tuple, df.collect())) == [(1, "x"), (4, "v")] and df.count() == df.select("b").count() == 2
+    with pytest.raises(Exception, match="(?i)malformed"):
+        text.read_typed(spark, path, "a int, b string").select("b").collect()
+
+
+def test_chains_and_unread_files(spark, tmp_path):
+    rows = [("f", "B", 1), ("f", "A", 2), ("f", "C", 3), ("g", "C", 4), ("g", None, 5)]
+    atoms = spark.createDataFrame(rows, "file string, chain_id string, serial int")
+    pick = lambda c: sorted(r.serial for r in structures.pick_chains(atoms, c).collect())
+    assert pick(None) == [1, 2, 3, 4, 5] and pick("C") == [3, 4] and pick(0) == [2, 4] and pick(["A", 1]) == [1, 2] and pick([]) == [] and pick(9) == []
+    put(tmp_path / "bad.cif", "loop_\n_atom_site.id\n_atom_site.Cartn_x\n1 x\n#\n")
+    put(tmp_path / "cut.cif.gz", b"\x1f\x8b\x08")
+    put(tmp_path / "long.cif", "#" * 2000)
+    put(tmp_path / "empty.cif", "")
+    got = {r.file.split("/")[-1]: r.reason for r in structures.unread_mmcif(spark, str(tmp_path), max_bytes=1000).collect()}
+    assert set(got) == {"bad.cif", "cut.cif.gz", "long.cif"} and got["long.cif"] == "2000 bytes"
+    assert structures.read_mmcif(spark, str(tmp_path), max_bytes=1000).count() == 0
