@@ -11,6 +11,7 @@ number a row, which is all that the tasks need to score every text.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,7 +126,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 3
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     out, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     axis = out[:, 1] - out[:, 0]
-    emb += _log_odds([np.unique(np.concatenate([flat[starts[w] : starts[w] + sizes[w]] for w in np.unique(d)])) for d in docs], y)[:, None] * axis / (axis**2).sum()
+    held = (np.concatenate([flat[starts[w] : starts[w] + sizes[w]] for w in np.unique(d)]) for d in docs)
+    emb += _log_odds(held, y)[:, None] * axis / (axis**2).sum()
     seen_e, seen_o = np.full((BUCKETS, 1), 1e-6), np.full((DIM, 2), 1e-6)
     share = y.mean()
     weights = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
@@ -170,10 +172,11 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 3
     return model
 
 
-def _log_odds(held: list[np.ndarray], y: np.ndarray, prior: float = 5.0) -> np.ndarray:
+def _log_odds(held: Iterable[np.ndarray], y: np.ndarray, prior: float = 5.0) -> np.ndarray:
     """Log of how much more often toxic texts hold an embedding row than others, with prior texts of either kind added; 0 for rows never met."""
-    n = np.bincount(y.astype(int), minlength=2)
-    texts = np.stack([np.bincount(np.concatenate([h for h, v in zip(held, y, strict=True) if v == c]), minlength=BUCKETS) for c in (0, 1)])
+    n, texts = np.bincount(y.astype(int), minlength=2), np.zeros((2, BUCKETS))
+    for rows_, v in zip(held, y, strict=True):
+        texts[int(v), np.unique(rows_)] += 1
     share = (texts + prior * n[:, None] / len(y)) / (n[:, None] + prior)
     return np.log(share[1]) - np.log(share[0])
 
