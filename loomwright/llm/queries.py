@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lines, mixing, secrets, simhash, substring, topk, toxicity, warc
+from . import annuli, codes, decontaminate, licenses, lines, mixing, multiindex, secrets, simhash, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": lines.op8,
     "op9_license_scan": licenses.op9,
     "op10_top_k": topk.op10,
+    "op11_vector_codes": codes.op11,
+    "op12_hard_negatives": annuli.op12,
+    "op13_nearest_neighbours": multiindex.op13,
 }
 
 SQL: dict[str, str] = {
@@ -24,4 +27,6 @@ SQL: dict[str, str] = {
     "op4_substring_dedup": substring.OP4_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op10_top_k": topk.OP10_SQL,
+    "op11_vector_codes": codes.OP11_SQL,
+    "op12_hard_negatives": annuli.OP12_SQL,
 }
