@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.random import hash_number
 from ..staging import stage
+from .alignment import place_aligner
 
 
 def distance(axes: Sequence[str] = ("x", "y", "z")) -> Column:
@@ -119,7 +121,7 @@ def spatial_crop(points: DataFrame, complex_col: str, chain: str, order: str, si
     """The size points of each complex nearest to a drawn point that is less than radius from another chain's; those at the start of the order for a complex without one."""
     near = grid_join(points, points, radius, [complex_col], condition=F.col(f"a_{chain}") != F.col(f"b_{chain}")).where(F.col("d") < radius)
     drawn = F.struct(*[F.col(f"a_{c}").alias(c) for c in "xyz"])
-    first = F.min_by(drawn, F.struct(F.xxhash64(F.lit(seed), F.col(f"a_{chain}"), F.col(f"a_{order}")), F.col(f"a_{order}"))).alias("at")
+    first = F.min_by(drawn, F.struct(hash_number(seed, F.col(f"a_{chain}"), F.col(f"a_{order}")), F.col(f"a_{order}"))).alias("at")
     anchors = stage(near.groupBy(F.col(f"a_{complex_col}").alias("_complex")).agg(first), "anchors")
     joined = points.join(anchors, F.col(complex_col) == F.col("_complex"), "left")
     d = F.sqrt(sum(((F.col(c) - F.col(f"at.{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
@@ -132,8 +134,6 @@ def flexible_superpose(moving: DataFrame, fixed: DataFrame, complex_col: str, or
 
     order numbers a chain's residues from 0; complexes are paired by name. A complex without such a run has no fit.
     """
-    from .metrics import place_aligner
-
     text = lambda df, name: df.groupBy(F.col(complex_col).alias("_c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, letter))), lambda r: r[letter]), "").alias(name))
     both = text(moving, "_a").join(text(fixed, "_b"), "_c")
     places = stage(both.select("_c", F.explode(place_aligner(least_run, **scores)("_a", "_b")).alias("p")).select("_c", "p.a", "p.b"), "places")

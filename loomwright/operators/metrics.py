@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.sequences import characters
+from . import alignment
 from .ordinals import running_sums
 
 
@@ -89,61 +90,15 @@ def parse_matrix(text: str) -> dict[tuple[str, str], float]:
 
 
 def alignment_score(a: str, b: str, matrix: dict | None = None, match: float = 1.0, mismatch: float = 0.0, gap: float = 0.0) -> float:
-    """Best score of a global alignment; by the matrix if there is one, KeyError for letters it lacks."""
-    row = [j * gap for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        new = [i * gap]
-        for j, y in enumerate(b, 1):
-            pair = matrix[x, y] if matrix else match if x == y else mismatch
-            new.append(max(row[j - 1] + pair, row[j] + gap, new[-1] + gap))
-        row = new
-    return float(row[-1])
-
-
-def alignment_scorer(matrix: dict | None = None, penalty: float = 1000.0, **scores):
-    """A column function of two sequences: alignment_score, or the penalty where that fails."""
-
-    def one(a, b) -> float:
-        try:
-            return alignment_score(a, b, matrix, **scores)
-        except (KeyError, TypeError):
-            return penalty
-
-    @F.pandas_udf(T.DoubleType())
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
+    """Best score of a global alignment of one pair; by the matrix if there is one, KeyError for letters it lacks."""
+    score = float(alignment.align([a], [b], alignment.Scoring(match, mismatch, gap, matrix))[0][0])
+    if np.isnan(score):
+        raise KeyError(f"letters of {a!r} and {b!r} that the matrix lacks")
     return score
 
 
-def aligned_places(a: str, b: str, matrix: dict | None = None, match: float = 1.0, mismatch: float = 0.0, gap: float = 0.0, least_run: int = 1) -> list[tuple[int, int]]:
-    """(place in a, place in b) of the letters that a best global alignment puts together, in runs without a gap of at least least_run."""
-    pair = lambda x, y: matrix[x, y] if matrix else match if x == y else mismatch
-    table = [[j * gap for j in range(len(b) + 1)]]
-    for i, x in enumerate(a, 1):
-        row = [i * gap]
-        for j, y in enumerate(b, 1):
-            row.append(max(table[-1][j - 1] + pair(x, y), table[-1][j] + gap, row[-1] + gap))
-        table.append(row)
-    i, j, runs = len(a), len(b), [[]]
-    while i and j:
-        if table[i][j] == table[i - 1][j - 1] + pair(a[i - 1], b[j - 1]):
-            i, j = i - 1, j - 1
-            runs[-1].append((i, j))
-        else:
-            i, j = (i - 1, j) if table[i][j] == table[i - 1][j] + gap else (i, j - 1)
-            runs.append([])
-    return sorted(p for run in runs if len(run) >= least_run for p in run)
-
-
-def place_aligner(least_run: int = 1, **scores):
-    """A column function of two sequences to an array of struct(a, b): aligned_places. A sequence pair fits one task."""
-
-    @F.pandas_udf("array<struct<a:int,b:int>>")
-    def align(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([[{"a": i, "b": j} for i, j in aligned_places(s or "", t or "", least_run=least_run, **scores)] for s, t in zip(x, y, strict=True)])
-
-    return align
+#: A column function of two sequences: the score of a best global alignment, or a penalty.
+alignment_scorer = alignment.scorer
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

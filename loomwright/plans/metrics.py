@@ -68,7 +68,16 @@ def edit_opcodes(spark, d):
     return counted.select("p_partkey", "c.*", M.aligned_score(F.col("c")).alias("score"))
 
 
-@query("alignment_score")
+@query("alignment_score", f"""
+WITH RECURSIVE r AS (
+  SELECT p_partkey, a, b, 0 AS i, [-j FOR j IN range(length(b) + 1)] AS best FROM {_PAIRS}
+  UNION ALL
+  SELECT p_partkey, a, b, i + 1, [list_max([t[k + 1] + k FOR k IN range(j + 1)]) - j FOR j IN range(length(b) + 1)] FROM (
+    SELECT *, [CASE WHEN j = 0 THEN -(i + 1) ELSE greatest(best[j] + CASE WHEN a[i + 1] = b[j] THEN 1 ELSE -1 END, best[j + 1] - 1) END FOR j IN range(length(b) + 1)] AS t FROM r WHERE i < length(a)
+  )
+)
+SELECT p_partkey, best[-1]::DOUBLE AS score FROM r WHERE i = length(a)
+""")
 def alignment_score(spark, d):
     score = M.alignment_scorer(match=1.0, mismatch=-1.0, gap=-1.0)
     return _pairs(spark, d).select("p_partkey", score("a", "b").alias("score"))

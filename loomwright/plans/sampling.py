@@ -100,6 +100,12 @@ def kmer_clusters(spark, d):
     return C.kmer_clusters(table(spark, d, "part"), "p_partkey", "p_name", k=4)
 
 
+@query("gapped_clusters")
+def gapped_clusters(spark, d):
+    """Names that are alike but for single letters put in or left out, on both sides."""
+    return C.kmer_clusters(table(spark, d, "part"), "p_partkey", "p_name", k=4, coverage=0.8, band=8)
+
+
 @query("kmer_features", """
 WITH k AS (SELECT p_partkey, p_name, [('0x' || substr(md5(substr(p_name, i, 3)), 1, 8))::BIGINT % 64 FOR i IN range(1, length(p_name) - 1)] AS hs FROM part)
 SELECT p_partkey, p_name, array_to_string([len([x FOR x IN hs IF x = j]) FOR j IN range(64)], ',') AS vector FROM k

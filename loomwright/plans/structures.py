@@ -55,14 +55,29 @@ def topk_nearest(spark, d):
     return near.select("vec_id", F.round("d", 6).alias("d"))
 
 
-@query("spatial_crop")
+@query("spatial_crop", f"""
+WITH p AS {_POINTS}, near AS (
+  SELECT DISTINCT a.*, ('0x' || substr(md5('0:' || a.chain || ':' || a.vec_id), 1, 8))::BIGINT AS h FROM p a JOIN p b ON a.complex = b.complex AND a.chain <> b.chain AND {_D} < 0.05
+), place AS (SELECT complex, x, y, z FROM near QUALIFY row_number() OVER (PARTITION BY complex ORDER BY h, vec_id) = 1
+), d AS (SELECT a.*, coalesce({_D}, 0) AS d FROM p a LEFT JOIN place b ON a.complex = b.complex)
+SELECT vec_id, complex, chain, x, y, z FROM d QUALIFY row_number() OVER (PARTITION BY complex ORDER BY d, vec_id, chain) <= 40
+""")
 def spatial_crop(spark, d):
     return G.spatial_crop(_points(spark, d), "complex", "chain", "vec_id", 40, 0.05)
 
 
-@query("superposition", f"SELECT complex, count(*) AS n, 0.0::DOUBLE AS rmsd FROM {_POINTS} GROUP BY complex")  # the same points, turned and moved
+#: In the plane, the best rotation or reflection of centered points a and b has in closed form what Kabsch's method finds.
+@query("superposition", f"""
+WITH p AS (SELECT p.*, embedding[4]::DOUBLE * 0.1 AS e, embedding[5]::DOUBLE * 0.1 AS f FROM {_POINTS} p JOIN embeddings USING (vec_id)),
+q AS (SELECT complex, x AS ax, y AS ay, -y + e + 1 AS bx, x + f - 2 AS b_y FROM p),
+c AS (SELECT complex, ax - avg(ax) OVER w AS ax, ay - avg(ay) OVER w AS ay, bx - avg(bx) OVER w AS bx, b_y - avg(b_y) OVER w AS b_y FROM q WINDOW w AS (PARTITION BY complex))
+SELECT complex, count(*) AS n, round(sqrt(greatest(0, sum(ax * ax + ay * ay + bx * bx + b_y * b_y) - 2 * greatest(
+  sqrt(pow(sum(ax * bx + ay * b_y), 2) + pow(sum(ax * b_y - ay * bx), 2)), sqrt(pow(sum(ax * bx - ay * b_y), 2) + pow(sum(ax * b_y + ay * bx), 2)))) / count(*)), 6) AS rmsd
+FROM c GROUP BY complex
+""")
 def superposition(spark, d):
-    p = _points(spark, d)
-    turned = p.withColumns({"x": -F.col("y") + 1, "y": F.col("x") - 2, "z": F.col("z") + 3})
+    noise = table(spark, d, "embeddings").select("vec_id", *[(F.get("embedding", 3 + i).cast("double") * 0.1).alias(c) for i, c in enumerate("ef")])
+    p = _points(spark, d).withColumn("z", F.lit(0.0))
+    turned = p.join(noise, "vec_id").withColumns({"x": -F.col("y") + F.col("e") + 1, "y": F.col("x") + F.col("f") - 2})
     fits = G.superpose(p, turned, "complex", "vec_id")
     return fits.select("complex", "n", F.round("rmsd", 6).alias("rmsd"))

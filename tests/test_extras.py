@@ -40,11 +40,6 @@ def test_weight_and_vectors(spark):
     assert mixed == [[2.0]]
 
 
-def test_alignment_places():
-    assert metrics.aligned_places("ACDEF", "ACEF") == [(0, 0), (1, 1), (3, 2), (4, 3)]
-    assert metrics.aligned_places("ACDEF", "ACEF", least_run=3) == [] and metrics.aligned_places("", "A") == []
-
-
 def test_flexible_superposition(spark):
     rng = np.random.default_rng(2)
     seq = "".join(rng.choice(list(Q.RESIDUES), 40))
