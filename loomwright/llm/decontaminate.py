@@ -130,9 +130,8 @@ def leaky_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
     near = F.concat(*[may(f"m{n}") for n in lengths])
     scanned = stage(with_minima(own, lengths).select("id", "key", "th", F.size("words").cast("long").alias("n_words"), near.alias("fps")), "scanned")
     met = scanned.select("key", "th", F.explode("fps").alias("fp")).join(fps, "fp", "left_semi").select("key", "th").distinct()
-    met = sized(stage(met, "met")).withColumnsRenamed({"key": "met_key", "th": "met_th"})
-    key, th = key_of(id_col, text_col)
-    among = docs.join(met, (key == F.col("met_key")) & (th == F.col("met_th"))).select(F.col("met_key").alias("key"), F.col("met_th").alias("th"), words(F.col(text_col)).alias("words"))
+    texts = docs.select(*key_of(id_col, text_col), F.col(text_col).alias("text"))
+    among = texts.join(sized(stage(met, "met")), ["key", "th"]).select("key", "th", words(F.col("text")).alias("words"))
     wide = with_minima(among, lengths)
     for n in lengths:
         wide = _with_spans(wide, n, known)
@@ -146,7 +145,7 @@ def leaky_documents(docs: DataFrame, items: DataFrame, window: int = 10, id_col:
         lambda acc: acc["sum"].cast("long"),
     )
     n_hit = found.groupBy("key", "th").agg(covered.alias("n_hit"))
-    of_items = found.join(bench.select("span", F.col("item").cast("string").alias("item")), "span").where("item is not null")
+    of_items = found.select("key", "th", "span").distinct().join(bench.select("span", F.col("item").cast("string").alias("item")), "span").where("item is not null")
     named = of_items.select("key", "th", "item").distinct().groupBy("key", "th").agg(F.array_sort(F.collect_list("item")).alias("items"))
     return scanned, stage(n_hit.join(named, ["key", "th"], "left"), "leaky_documents")
 
@@ -165,11 +164,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, that have no benchmark window; null and empty texts have none."""
+    """The rows of docs, with their columns of whatever names, that have no benchmark window; null and empty texts have none.
+
+    An empty table gives no rows, and all rows stay if there are no items.
+    """
     _, leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col)
-    leaky = sized(stage(leaky.select(F.col("key").alias("leaky_key"), F.col("th").alias("leaky_th")), "leaky_keys"))
-    key, th = key_of(id_col, text_col)
-    return docs.alias("d").join(leaky, (key == F.col("leaky_key")) & (th == F.col("leaky_th")), "left_anti").select("d.*")
+    leaky = sized(stage(leaky.select("key", "th"), "leaky_keys"))
+    return docs.select(*key_of(id_col, text_col), F.struct("*").alias("row")).join(leaky, ["key", "th"], "left_anti").select("row.*")
 
 
 def _with_spans(df: DataFrame, n: int, known: BitTable) -> DataFrame:
