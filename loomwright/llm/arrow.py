@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: Keys of at most so many rows are sent to where the texts are read; texts are shuffled to more.
-BROADCAST_ROWS = 1_000_000
+#: Keys of at most so many rows and bytes are sent to where the texts are read; texts are shuffled to more.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def rows(batch: pa.RecordBatch, key: str, text: str) -> Iterator[tuple[int | None, bytes]]:
@@ -39,5 +39,15 @@ def open_fs(uri: str):
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """A staged table of keys, to be broadcast if it has at most BROADCAST_ROWS rows, and else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A staged table of keys, to be broadcast if it is within BROADCAST_ROWS and BROADCAST_BYTES, and else as it is."""
+
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.octet_length(name)
+        return 8 + 8 * F.size(name) if kind.startswith("array") else F.lit(8)
+
+    each = F.lit(0)
+    for name, kind in df.dtypes:
+        each = each + F.greatest(F.coalesce(width(name, kind), F.lit(0)), F.lit(8))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df

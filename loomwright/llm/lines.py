@@ -6,7 +6,7 @@ and the document that keeps the line are stored in plain arrays. Lines in fewer
 counted before, and the answer for them is that they stay.
 
 The most frequent lines, a fixed number, are one shard that every task holds: what many documents share is
-answered where the texts are read. Digests of the other lines, and not the lines, go to the shard that would
+answered where the texts are read, and does not leave there. Digests of the other lines, and not the lines, go to the shard that would
 hold them, which answers with the places of lines that go. Every shard is read once, whatever the number of
 shards, and a task holds one at a time.
 """
@@ -155,10 +155,11 @@ def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return Shard.build(hot), shards, stage(rest.withColumn("shard", _shard_of(shards)).groupBy("shard").applyInArrow(_build, _INDEX), "line_index")
 
 
-def _places(least: int):
-    """(h1, h2, id, th, line) of the lines that are long enough."""
+def _places(hot, least: int):
+    """(h1, h2, id, th, line) of the lines that are long enough and that the hot shard does not have."""
 
     def run(batches):
+        shard = hot.value
         for batch in small(batches):
             ths = batch.column("th").to_pylist()
             parts, out = [], []
@@ -167,9 +168,11 @@ def _places(least: int):
                     if _long(key, least):
                         parts.append(xxhash.xxh3_128_digest(key))
                         out.append((i, th, j))
-            h = np.frombuffer(b"".join(parts), ">i8").reshape(-1, 2).astype(np.int64)
+            h = np.ascontiguousarray(np.frombuffer(b"".join(parts), ">i8").reshape(-1, 2).astype(np.int64).T)
             at = np.array(out, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(at[:, c]) for c in range(3))], ["h1", "h2", "id", "th", "line"])
+            other = shard.find(*h.view(np.uint64))[0] == 0
+            h, at = h[:, other], at[other]
+            yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), *(pa.array(at[:, c]) for c in range(3))], ["h1", "h2", "id", "th", "line"])
 
     return run
 
@@ -190,9 +193,9 @@ def _answers(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (ids, ths, at)], ["id", "th", "line"])
 
 
-def _sharded(keyed: DataFrame, shards: int, index: DataFrame, least: int) -> DataFrame:
+def _sharded(keyed: DataFrame, hot, shards: int, index: DataFrame, least: int) -> DataFrame:
     """Staged (id, th, lines) of the documents that lose lines of the index's shards; keyed has id, th, text."""
-    found = keyed.mapInArrow(_places(least), "h1 long, h2 long, id long, th long, line long").withColumn("shard", _shard_of(shards))
+    found = keyed.mapInArrow(_places(hot, least), "h1 long, h2 long, id long, th long, line long").withColumn("shard", _shard_of(shards))
     both = index.unionByName(found, allowMissingColumns=True)
     own = F.col("sizes").isNull()
     dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", own)
@@ -242,13 +245,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     types = "id long, n_lines long, n_dropped long, text string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in taken.schema.fields[2:])
     extra = [f"c{i}" for i in range(len(carry))]
+    held = docs.sparkSession.sparkContext.broadcast(hot)  # hot_keys keys at most
     if shards:
         key, th = F.coalesce("id", F.lit(NULL_ID)), F.xxhash64("text")
-        gone = _sharded(taken.select(key.alias("id"), th.alias("th"), "text"), shards, index, least_chars).withColumnsRenamed({"id": "gone_id", "th": "gone_th"})
+        gone = _sharded(taken.select(key.alias("id"), th.alias("th"), "text"), held, shards, index, least_chars).withColumnsRenamed({"id": "gone_id", "th": "gone_th"})
         taken = taken.join(sized(gone), (key == F.col("gone_id")) & (th == F.col("gone_th")), "left").select("id", "text", "lines", *extra)
     else:  # there is no other shard that could be asked
         taken = taken.select("id", "text", F.lit(None).cast("array<long>").alias("lines"), *extra)
-    held = docs.sparkSession.sparkContext.broadcast(hot)  # hot_keys keys at most
     return taken.mapInArrow(_drop(held, least_chars), types)
 
 

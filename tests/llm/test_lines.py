@@ -45,3 +45,15 @@ def test_odd_rows_in_shards(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, lines int")
     got = sorted((r.id or 0, r.n_dropped, r.text) for r in lines.dedup_lines(docs, hot_keys=0, carry=("shard",)).collect())
     assert got == [(0, 1, "x"), (0, 1, "x"), (1, 1, "y"), (2, 1, "y"), (2, 1, "y"), (3, 0, "a line of more than twenty characters\ny"), (4, 0, ""), (5, 0, "")]
+
+
+def test_hot_lines_do_not_leave(spark):
+    """A line of all documents is answered by the shard that every task holds; the others are asked for."""
+    docs = spark.createDataFrame([(i, f"a line that every document has\nthe line of the group {i % 40:020d}\nan own line of its own, {i:020d}") for i in range(400)], "doc_id long, text string")
+    hot, shards, index = lines.line_index(docs, hot_keys=1, shard_keys=10)
+    assert shards == 4
+    held = spark.sparkContext.broadcast(hot)
+    places = docs.selectExpr("doc_id AS id", "text", "xxhash64(text) AS th").mapInArrow(lines._places(held, 20), "h1 long, h2 long, id long, th long, line long")
+    assert {r.line for r in places.select("line").distinct().collect()} == {1, 2} and places.count() == 800
+    got = lines.dedup_lines(docs, hot_keys=1, shard_keys=10)
+    assert sum(r.n_dropped for r in got.collect()) == 399 + 360
