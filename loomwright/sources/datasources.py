@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator
 from urllib.parse import urljoin
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def _place(path: str):
+def file_system(path: str):
+    """(file system, path in it) of a URI or an absolute path."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
 def _open(path: str):
-    files, at = _place(path)
+    files, at = file_system(path)
     return files.open_input_file(at)
 
 
@@ -32,7 +33,7 @@ class FFDataReader(DataSourceReader):
         self.each = int(options.get("index_bytes", 1 << 20))
 
     def partitions(self):
-        files, at = _place(self.index)
+        files, at = file_system(self.index)
         size = files.get_file_info(at).size or 0
         return [_Range(i, min(i + self.each, size)) for i in range(0, size, self.each)] or [_Range(0, 0)]
 
@@ -95,14 +96,13 @@ def _resolve(base: str, iri: str) -> str:
     return urljoin(base, iri) + "#" * iri.endswith("#") if base else iri  # an empty fragment is lost in joining
 
 
-def triples(text: str) -> Iterator[tuple]:
-    """(subject, predicate, object, object_kind, lang, datatype) of a Turtle text.
+def triples(text: str, prefixes: dict[str, str] | None = None, base: str = "", anonymous: str = "_:anon") -> Generator[tuple, None, int]:
+    """(subject, predicate, object, object_kind, lang, datatype) of a Turtle text; returns the number of blank nodes it named.
 
     Nested nodes and the cells of collections are blank nodes of their own, _:anon0 and so on. The names of blank
-    nodes hold inside their file.
+    nodes hold inside their file. prefixes and base are those known before the text.
     """
-    prefixes: dict[str, str] = {}
-    base = ""
+    prefixes = dict(prefixes or {})
     told: list = []  # subject and predicate so far, or the members of a collection
     outer: list[list] = []  # the same of the brackets around
     kinds: list[str] = []
@@ -115,7 +115,7 @@ def triples(text: str) -> Iterator[tuple]:
     def blank() -> str:
         nonlocal made
         made += 1
-        return f"_:anon{made - 1}"
+        return f"{anonymous}{made - 1}"
 
     while True:
         term = None
@@ -158,6 +158,7 @@ def triples(text: str) -> Iterator[tuple]:
         at = m.end()
     if text[at:].strip() or kinds:
         raise ValueError(f"cannot parse Turtle at {text[at:at + 40]!r}")
+    return made
 
 
 def _term(t: dict, full, base: str) -> tuple:
