@@ -126,7 +126,7 @@ def _compare_all(q: np.ndarray, q_ids: np.ndarray, width: int, k: int):
                 old = (*held[:3], np.arange(n))
                 owner, found, score, row = near_rows(q, q_ids, dense(part.column("v"), width), part.column("vec_id").to_numpy(), (*old[:3], -1 - old[3]), k)
                 new = part.column("cell").to_numpy()
-                cells = np.where(row < 0, cells[np.minimum(-1 - row, max(n - 1, 0))] if n else 0, new[np.maximum(row, 0)])
+                cells = np.concatenate([new, cells])[np.where(row < 0, len(new) - 1 - row, row)]
                 held = (owner, found, score, row)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*held[:3], cells)], ["query", "vec_id", "score", "cell"])
 
