@@ -6,7 +6,7 @@ watermarks need.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -41,3 +41,24 @@ def sessions(df: DataFrame, gap: str, aggregates: Sequence[Column], by: Sequence
 def drop_repeats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The first row of each key; a stream keeps keys as long as its watermark asks for."""
     return df.dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
+
+
+class Resumed:
+    """A stream whose state lives in a folder: each call of run takes what has arrived since, under the same watermark and state.
+
+    files is where files arrive; build makes the result of the stream of them; rows of the result are appended to out. A file is
+    taken once, whatever stops in between.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, build: Callable[[DataFrame], DataFrame]):
+        self.spark, self.schema, self.build = spark, schema, build
+        self.files, self.out, self.progress = (f"{folder}/{n}" for n in ("files", "out", "progress"))
+
+    def arrive(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.files)
+
+    def run(self) -> None:
+        ingest(self.build(read_stream(self.spark, self.files, self.schema, 1000)), self.out, self.progress)
+
+    def result(self) -> DataFrame:
+        return self.spark.read.schema(self.build(self.spark.createDataFrame([], self.schema)).schema).parquet(self.out)
