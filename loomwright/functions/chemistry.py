@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from . import smiles
+from .fingerprints import read_molblock
 from .random import hash_number
 
 try:
@@ -63,9 +65,14 @@ def canonical_smiles(s: Column) -> Column:
 
 
 def plain_smiles(s: Column, sanitize: bool = True, canonical: bool = False) -> Column:
-    """SMILES read and written again, in the atoms' own order unless canonical; null where the molecule cannot be read. Needs the toolkit."""
+    """SMILES read and written again, in the atoms' own order unless canonical; null where the molecule cannot be read.
+
+    Without the toolkit by smiles.py, which keeps no handedness and does not sanitize; canonical needs the toolkit.
+    """
     if Chem is None:
-        raise ImportError("reading SMILES needs rdkit")
+        if canonical:
+            raise ImportError("canonical SMILES need rdkit")
+        return smiles.written(smiles.read(s))
 
     @F.pandas_udf(T.StringType())
     def convert(values: pd.Series) -> pd.Series:
@@ -76,9 +83,9 @@ def plain_smiles(s: Column, sanitize: bool = True, canonical: bool = False) -> C
 
 
 def shuffled_smiles(s: Column, key: Column, seed: int = 0) -> Column:
-    """The molecule with its atoms in an order drawn from key and seed, null where it cannot be read. Needs the toolkit."""
+    """The molecule with its atoms in an order drawn from key and seed, null where it cannot be read; see plain_smiles."""
     if Chem is None:
-        raise ImportError("renumbering atoms needs rdkit")
+        return smiles.written(smiles.read(s), key, seed)
 
     @F.pandas_udf(T.StringType())
     def convert(values: pd.Series, draws: pd.Series) -> pd.Series:
@@ -124,12 +131,14 @@ def sanitizable_lines(df: DataFrame, smiles: str) -> DataFrame:
 
 
 def sdf_to_smiles(molecules: DataFrame, prefix: str = "") -> DataFrame:
-    """(id, smiles) of the readable records of read_sdf; ordinals count all records. Needs the toolkit."""
+    """(id, smiles) of the readable records of read_sdf; ordinals count all records. Without the toolkit, records of the V2000 tables in their own order."""
+    name = F.concat(F.lit(prefix), F.col("row_idx").cast("string")).alias("id")
     if Chem is None:
-        raise ImportError("reading molfiles needs rdkit")
+        read = molecules.select(name, F.explode(F.array(read_molblock(F.col("molblock")))).alias("_molecule"))  # a column of its own, see written()
+        return read.select("id", smiles.written(F.col("_molecule")).alias("smiles")).where("smiles is not null")
 
     @F.pandas_udf(T.StringType())
     def convert(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if (mol := Chem.MolFromMolBlock(x)) is None else Chem.MolToSmiles(mol))
 
-    return molecules.select(F.concat(F.lit(prefix), F.col("row_idx").cast("string")).alias("id"), convert("molblock").alias("smiles")).where("smiles is not null")
+    return molecules.select(name, convert("molblock").alias("smiles")).where("smiles is not null")
