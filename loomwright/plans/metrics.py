@@ -62,7 +62,29 @@ def seq_accuracy(spark, d):
     return _pairs(spark, d).agg(F.round(F.avg(M.accuracy(F.col("a"), F.col("b"))), 9).alias("accuracy"))
 
 
-@query("edit_opcodes")
+#: The longest common stretch, the earliest of these, then the same to its left and right; what lies between two stretches is replaced, inserted or deleted.
+@query("edit_opcodes", f"""
+WITH RECURSIVE p AS {_PAIRS}, e AS (
+  SELECT p_partkey, i, j, max(i) OVER (PARTITION BY p_partkey, i - j, island) - i + 1 AS run FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY p_partkey, i - j ORDER BY i) AS island FROM (
+      SELECT p_partkey, a, b, i, unnest(range(1, length(b) + 1)) AS j FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM p)) WHERE a[i] = b[j])
+), w AS (
+  SELECT p_partkey, 1::BIGINT AS a0, length(a) AS a1, 1::BIGINT AS b0, length(b) AS b1, NULL::BIGINT AS i, NULL::BIGINT AS j, NULL::BIGINT AS size FROM p
+  UNION ALL
+  SELECT p_partkey, unnest([m.a0, m.i + m.size, NULL]), unnest([m.i - 1, m.a1, NULL]), unnest([m.b0, m.j + m.size, NULL]), unnest([m.j - 1, m.b1, NULL]), unnest([NULL, NULL, m.i]), unnest([NULL, NULL, m.j]), unnest([NULL, NULL, m.size]) FROM (
+    SELECT *, -struct_extract(best, 'i') AS i, -struct_extract(best, 'j') AS j, struct_extract(best, 'size') AS size FROM (
+      SELECT w.p_partkey, w.a0, w.a1, w.b0, w.b1, max({{'size': least(e.run, w.a1 - e.i + 1, w.b1 - e.j + 1), 'i': -e.i, 'j': -e.j}}) AS best
+      FROM w JOIN e ON e.p_partkey = w.p_partkey AND e.i BETWEEN w.a0 AND w.a1 AND e.j BETWEEN w.b0 AND w.b1 GROUP BY ALL
+    )
+  ) m
+), met AS (
+  SELECT p_partkey, i, j, size FROM w WHERE i IS NOT NULL UNION ALL SELECT p_partkey, length(a) + 1, length(b) + 1, 0 FROM p
+), gaps AS (
+  SELECT p_partkey, size, i - coalesce(lag(i + size) OVER o, 1) AS x, j - coalesce(lag(j + size) OVER o, 1) AS y FROM met WINDOW o AS (PARTITION BY p_partkey ORDER BY i, j)
+)
+SELECT *, CASE WHEN "insert" + "delete" + "replace" + "equal" > 0 THEN "equal" / ("insert" + "delete" + "replace" + "equal") ELSE 0.0 END AS score FROM (
+  SELECT p_partkey, sum(y - least(x, y))::BIGINT AS "insert", sum(x - least(x, y))::BIGINT AS "delete", sum(least(x, y))::BIGINT AS "replace", sum(size)::BIGINT AS "equal" FROM gaps GROUP BY p_partkey)
+""")
 def edit_opcodes(spark, d):
     counted = _pairs(spark, d).select("p_partkey", M.edit_opcodes("a", "b").alias("c"))
     return counted.select("p_partkey", "c.*", M.aligned_score(F.col("c")).alias("score"))

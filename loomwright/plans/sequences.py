@@ -159,7 +159,18 @@ def bpe_pair_counts(spark, d):
     return T.pair_counts(words)
 
 
-@query("bpe_merges")
+def _merges_sql(rounds: int) -> str:
+    """The rounds written out: symbols stand between < and >, so that a merge is a replacement, from the left and without overlap."""
+    steps = ["w0 AS MATERIALIZED (SELECT '<' || array_to_string(string_split(word, ''), '><') || '>' AS s, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(p_name, '[ \\t\\n\\v\\f\\r]+')) AS word FROM part) WHERE word <> '' GROUP BY word)"]
+    for k in range(rounds):
+        steps.append(f"""b{k} AS MATERIALIZED (
+  SELECT "left", "right", sum(n)::BIGINT AS n FROM (SELECT t[i] AS "left", t[i + 1] AS "right", n FROM (SELECT *, unnest(range(1, len(t))) AS i FROM (SELECT string_split(s[2:-2], '><') AS t, n FROM w{k})))
+  GROUP BY ALL HAVING sum(n) >= 2 ORDER BY n DESC, "left", "right" LIMIT 1
+), w{k + 1} AS MATERIALIZED (SELECT replace(s, '<' || "left" || '><' || "right" || '>', '<' || "left" || "right" || '>') AS s, w{k}.n FROM w{k}, b{k})""")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f'SELECT {k} AS round, "left", "right", n FROM b{k}' for k in range(rounds))
+
+
+@query("bpe_merges", _merges_sql(8))
 def bpe_merges(spark, d):
     found = T.learn_merges(table(spark, d, "part"), "p_name", 8)
     return spark.createDataFrame([(i, *m) for i, m in enumerate(found)], "round int, left string, right string, n long")
