@@ -113,43 +113,43 @@ def _cif_atoms(file: str, content: bytes, kind: str) -> list[tuple]:
 _UNREADABLE = (ValueError, KeyError, TypeError, OSError, EOFError)
 
 
-def read_mmcif(spark: SparkSession, path: str | list[str], author_ids: bool = True, max_bytes: int = 256 << 20) -> DataFrame:
-    """The atom table of mmCIF files, plain or .gz, with the author's ids or those of the data bank.
-
-    Files above max_bytes and files that cannot be parsed have no rows; unread_mmcif lists them.
-    """
+def _parsed_mmcif(spark: SparkSession, path: str | list[str], author_ids: bool, max_bytes: int) -> DataFrame:
+    """The atom table with reason: a row with file and reason alone for each file that is too large or cannot be parsed."""
     kind = "auth" if author_ids else "label"
+    columns = [c.split()[0] for c in ATOM.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in ATOM.split(", ")]
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows = _cif_atoms(file, content, kind)
-                except _UNREADABLE:
-                    continue
-                yield pd.DataFrame(rows, columns=columns).astype({"res_seq": "Int32"})
+                    found = pd.DataFrame(_cif_atoms(file, content, kind), columns=columns).assign(reason=None)
+                except _UNREADABLE as e:
+                    found = pd.DataFrame([[file, *[None] * (len(columns) - 1), f"{type(e).__name__}: {e}"]], columns=[*columns, "reason"], dtype=object).astype(dict.fromkeys(("x", "y", "z", "occupancy", "b_factor"), float))
+                yield found.astype({"res_seq": "Int32", "serial": "Int32", "model": "Int32", "hetero": "boolean"})
 
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes).select("path", "content").mapInPandas(parse, ATOM)
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > max_bytes).select(F.col("path").alias("file"), F.format_string("%d bytes", "length").alias("reason"))
+    parsed = files.where(F.col("length") <= max_bytes).select("path", "content").mapInPandas(parse, f"{ATOM}, reason string")
+    return parsed.unionByName(large, allowMissingColumns=True)
+
+
+def read_mmcif(spark: SparkSession, path: str | list[str], author_ids: bool = True, max_bytes: int = 256 << 20) -> DataFrame:
+    """The atom table of mmCIF files, plain or .gz, with the author's ids or those of the data bank.
+
+    Files above max_bytes and files that cannot be parsed have no rows; see unread_mmcif, or read_all_mmcif for both at once.
+    """
+    return _parsed_mmcif(spark, path, author_ids, max_bytes).where("reason is null").drop("reason")
 
 
 def unread_mmcif(spark: SparkSession, path: str | list[str], author_ids: bool = True, max_bytes: int = 256 << 20) -> DataFrame:
     """(file, reason) of the files that read_mmcif leaves out: too large, or not to be parsed."""
-    kind = "auth" if author_ids else "label"
+    return _parsed_mmcif(spark, path, author_ids, max_bytes).where("reason is not null").select("file", "reason")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            reasons = []
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    _cif_atoms(file, content, kind)
-                except _UNREADABLE as e:
-                    reasons.append((file, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(reasons, columns=["file", "reason"])
 
-    files = spark.read.format("binaryFile").load(path)
-    large = files.where(F.col("length") > max_bytes).select(F.col("path").alias("file"), F.format_string("%d bytes", "length").alias("reason"))
-    return large.union(files.where(F.col("length") <= max_bytes).select("path", "content").mapInPandas(parse, "file string, reason string"))
+def read_all_mmcif(spark: SparkSession, path: str | list[str], author_ids: bool = True, max_bytes: int = 256 << 20) -> tuple[DataFrame, DataFrame]:
+    """What read_mmcif and unread_mmcif give, of one pass over the files, whose rows are staged."""
+    held = stage(_parsed_mmcif(spark, path, author_ids, max_bytes), "mmcif")
+    return held.where("reason is null").drop("reason"), held.where("reason is not null").select("file", "reason")
 
 
 def pick_chains(atoms: DataFrame, chosen: str | int | list[str | int] | None = None) -> DataFrame:

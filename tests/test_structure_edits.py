@@ -131,3 +131,15 @@ def test_trajectories(spark, tmp_path):
 def test_paths_of_ids(spark):
     df = spark.createDataFrame([("1abc",), ("other",), (None,)], "id string")
     assert [r[0] for r in df.select(structures.native_path(F.col("id"), "/pdb")).collect()] == ["/pdb/mmCIF/ab/1abc.cif.gz", "other", None]
+
+
+def test_atoms_and_reasons_of_one_pass(spark, tmp_path):
+    (tmp_path / "a.cif").write_text(CIF)
+    (tmp_path / "b.cif").write_text(CIF.replace("1.000   2.000", "one 2.000"))
+    (tmp_path / "c.cif").write_text(CIF + "#" * 5000)
+    path = str(tmp_path / "*.cif")
+    atoms_, unread = structures.read_all_mmcif(spark, path, author_ids=False, max_bytes=3000)
+    assert atoms_.count() == 3 and {r.file[-5:] for r in atoms_.collect()} == {"a.cif"}
+    assert {r.file[-5:]: r.reason.split(":")[0] for r in unread.collect()} == {"b.cif": "ValueError", "c.cif": f"{len(CIF) + 5000} bytes"}
+    assert atoms_.exceptAll(structures.read_mmcif(spark, path, author_ids=False, max_bytes=3000)).count() == 0
+    assert unread.exceptAll(structures.unread_mmcif(spark, path, author_ids=False, max_bytes=3000)).count() == 0
