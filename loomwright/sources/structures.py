@@ -302,6 +302,26 @@ def main_features(atoms: DataFrame, names: dict[str, Sequence[str]], types: Sequ
     return rows.select("file", "model", "chain_id", F.array_join(of("letter"), "").alias("sequence"), of("type").alias("aa_types"), of("xyz").alias("atom_positions"), of("there").alias("atom_exists"), of("b").alias("b_factors"))
 
 
+def backbone_frames(atoms: DataFrame) -> DataFrame:
+    """(file, model, chain_id, res_seq, i_code, rotation, translation) of the residues with N, CA and C atoms.
+
+    The frame stands at the CA atom, its first axis toward C, the second in the plane of N on N's side, the third across both. rotation has the axes as
+    columns, so that rotation * local + translation are the coordinates. Null where the three lie on a line.
+    """
+    key = ["file", "model", "chain_id", "res_seq", "i_code"]
+    point = lambda name: F.max(F.when(F.col("atom_name") == name, F.array("x", "y", "z"))).alias(name)
+    points = atoms.where("not hetero and atom_name in ('N', 'CA', 'C')").dropDuplicates([*key, "atom_name"]).groupBy(*key).agg(point("N"), point("CA"), point("C")).where("N is not null and CA is not null and C is not null")
+    less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    unit = lambda a: F.when(dot(a, a) > 1e-16, F.transform(a, lambda x: x / F.sqrt(dot(a, a))))
+    col, get = F.col, lambda c, i: F.get(F.col(c), i % 3)
+    out = points.withColumn("_x", unit(less(col("C"), col("CA")))).withColumn("_n", less(col("N"), col("CA"))).withColumn("_along", dot(col("_n"), col("_x")))
+    out = out.withColumn("_y", unit(F.zip_with("_n", "_x", lambda n, x: n - x * F.col("_along"))))
+    out = out.withColumn("_z", F.array(*[get("_x", i + 1) * get("_y", i + 2) - get("_x", i + 2) * get("_y", i + 1) for i in range(3)]))
+    rotation = F.when(col("_x").isNotNull() & col("_y").isNotNull(), F.array(*[F.array(get("_x", i), get("_y", i), get("_z", i)) for i in range(3)]))
+    return out.select(*key, rotation.alias("rotation"), col("CA").alias("translation"))
+
+
 #: The atoms of a residue's backbone.
 BACKBONE = ("N", "CA", "C", "O")
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,21 @@ def test_atoms_and_reasons_of_one_pass(spark, tmp_path):
     assert {r.file[-5:]: r.reason.split(":")[0] for r in unread.collect()} == {"b.cif": "ValueError", "c.cif": f"{len(CIF) + 5000} bytes"}
     assert atoms_.exceptAll(structures.read_mmcif(spark, path, author_ids=False, max_bytes=3000)).count() == 0
     assert unread.exceptAll(structures.unread_mmcif(spark, path, author_ids=False, max_bytes=3000)).count() == 0
+
+
+def test_backbone_frames(spark):
+    rng = np.random.default_rng(3)
+    own = {i: rng.normal(size=(3, 3)) for i in range(8)}
+    own[6][2] = own[6][1] + 2 * (own[6][0] - own[6][1])  # on a line
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    q *= np.sign(np.linalg.det(q))
+    rows = [(m, 0, m, "A", i, "", "GLY", name, *map(float, p @ q.T + 5 if m else p), 1.0, 1.0, "C", False) for m in (0, 1) for i, ps in own.items() for name, p in zip(("N", "CA", "C"), ps, strict=True) if (i, name) != (7, "N")]
+    df = spark.createDataFrame([("f", *r[1:]) for r in rows], ROW)
+    got = {(r.model, r.res_seq): r for r in structures.backbone_frames(df).collect()}
+    assert len(got) == 14 and got[0, 6].rotation is None
+    for i in range(6):
+        r, t = np.array(got[0, i].rotation), np.array(got[0, i].translation)
+        n, ca, c = own[i]
+        assert np.allclose(r.T @ r, np.eye(3)) and np.linalg.det(r) > 0 and np.allclose(t, ca)
+        assert np.allclose(r.T @ (c - ca), [np.linalg.norm(c - ca), 0, 0]) and abs((r.T @ (n - ca))[2]) < 1e-9 < (r.T @ (n - ca))[1]
+        assert np.allclose(q @ r, got[1, i].rotation) and np.allclose(q @ t + 5, got[1, i].translation)
