@@ -169,8 +169,18 @@ def without_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     An empty table gives no rows, and all rows stay if there are no items.
     """
     _, leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col)
-    leaky = sized(stage(leaky.select("key", "th"), "leaky_keys"))
-    return docs.select(*key_of(id_col, text_col), F.struct("*").alias("row")).join(leaky, ["key", "th"], "left_anti").select("row.*")
+    own_key, own_th = (_unused(docs, c) for c in ("key", "th"))
+    leaky = sized(stage(leaky.select(F.col("key").alias(own_key), F.col("th").alias(own_th)), "leaky_keys"))
+    key, th = key_of(id_col, text_col)
+    return docs.join(leaky, (key == F.col(own_key)) & (th == F.col(own_th)), "left_anti")
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """The name, with as many _ behind it as no column of df has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _with_spans(df: DataFrame, n: int, known: BitTable) -> DataFrame:
