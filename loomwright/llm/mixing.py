@@ -22,6 +22,7 @@ from ..staging import stage
 from .arrow import sized
 
 _FAN = 4096  # groups of the middle level of the running sums
+_RUN = 1 << 16  # equal rows that are written out at once
 
 
 def water_fill(sources: DataFrame, limit: float) -> DataFrame:
@@ -82,6 +83,7 @@ class Mix:
     """A mix of documents.
 
     sources: (s, source, weight, size, target) of each source, numbered in order of code points, null last.
+    counts: (shard, s, slots): the drawn number of slots of a source in a shard. Shards are full but for the last.
     documents: (id, th, source, size, s, at) of every row: XXH64 of the text, size in words, number of the source, first word in the source.
     pieces: (shard, slot, s, pass, block, at, id, th, first, n) of what fills the slots: n words of a document from its word first.
     """
@@ -113,6 +115,7 @@ class Mix:
         part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(batch_slots).cast("long")))
         parts = known.where("slots > 0").select("s", "blocks", "above", "slots", part.alias("lo")).withColumn("hi", F.least(F.col("lo") + batch_slots, "slots"))
         placed = parts.repartition(tasks, "s", "lo").mapInArrow(_place(all_slots, shard_slots, seed), "shard long, slot long, s long, pass long, block long")
+        self.counts = placed.groupBy("shard", "s").agg(F.count("*").alias("slots"))
         first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
         cut = self.documents.where("size > 0").select("s", "at", "id", "th", "size", F.explode(F.sequence(first, last)).alias("block"))
         lo = F.greatest(F.col("at"), F.col("block") * block_words)
@@ -154,7 +157,8 @@ def _running_sums(docs: DataFrame, rows: int, group_rows: int = 256) -> DataFram
     coarse = fine.groupBy("s", "g").agg(F.sum("total").alias("total")).withColumn("above", before(("s",), ("g",))).select("s", "g", "above")
     middle = fine.withColumn("inside", before(("s", "g"), ("b",))).join(coarse, ["s", "g"]).select("s", "b", (F.col("inside") + F.col("above")).alias("base"))
     local = keyed.withColumn("own", before(("s", "b"), ("id", "th", "size"))).join(stage(middle, "bases"), ["s", "b"])
-    each = local.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    runs = local.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(_RUN).cast("long"))))  # no array grows with the copies of a row
+    each = runs.withColumn("copy", F.explode(F.sequence("run", F.least(F.col("run") + _RUN, F.col("copies")) - 1))).drop("run")
     return each.withColumn("at", F.col("own") + F.col("base") + F.col("copy") * F.col("size")).drop("b", "g", "own", "base", "copies", "total", "copy")
 
 

@@ -79,6 +79,34 @@ def test_many_sources_and_shards(spark):
     assert sorted(map(tuple, mix.taken().selectExpr("id doc_id", "source", "size", "target", "taken").select(cols).collect())) == sorted(map(tuple, again.taken().selectExpr("id doc_id", "source", "size", "target", "taken").select(cols).collect()))
 
 
+def test_counts_of_shards_are_a_draw_given_the_totals(spark):
+    """Every shard's slots, and every source's, add up; the counts spread as those of a multinomial draw with these totals do."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 8), x -> 'w')) as text", "concat('s', id % 3) as source")
+    mix = mixing.Mix(docs, block_words=4, shard_slots=50)
+    counts = mix.counts.collect()
+    shards, sources = Counter(), Counter()
+    for r in counts:
+        shards[r.shard] += r.slots
+        sources[r.s] += r.slots
+    total = sum(sources.values())
+    assert sorted(shards) == list(range(-(-total // 50))) and all(shards[i] == 50 for i in range(total // 50))
+    own = Counter((r.shard, r.s) for r in {(r.shard, r.slot): r for r in mix.pieces.collect()}.values())
+    assert own == {(r.shard, r.s): r.slots for r in counts}
+    share = sources[0] / total
+    drawn = np.array([next((r.slots for r in counts if (r.shard, r.s) == (i, 0)), 0) for i in range(total // 50)])
+    spread = 50 * share * (1 - share)
+    assert abs(drawn.mean() - 50 * share) < 3 * (spread / len(drawn)) ** 0.5 and 0.6 < drawn.var() / spread < 1.5
+    again = mixing.Mix(docs.repartition(5), block_words=4, shard_slots=50)
+    assert sorted(map(tuple, again.counts.collect())) == sorted(map(tuple, counts))
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_RUN", 7)
+    docs = spark.range(100).selectExpr("cast(null as long) as doc_id", "'a b c' as text", "'x' as source")
+    mix = mixing.Mix(docs, block_words=4)
+    assert sorted(r["at"] for r in mix.documents.collect()) == list(range(0, 300, 3))
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "x"), (3, "", None), (4, "d\te\x0bf", None), (None, "g " * 3000, "y"), (5, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
