@@ -156,7 +156,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
     n_hit is the number of words that lie in an occurrence of a benchmark window, items the sorted array of
     the items, as strings, that have one. th is the XXH64 of the text; with the id it tells rows apart, and
     equal rows get equal results. Null and empty texts have no words. Items without words match nothing; a null
-    item id is not listed. Rows with a null id keep it. Other columns are not read.
+    item id is not listed. Rows with a null id keep it. Other columns are not read. An empty table gives no rows, and without items nothing is hit.
     """
     scanned, leaky = leaky_documents(docs, items, window, id_col, text_col, item_col, item_text_col)
     out = scanned.join(leaky, ["key", "th"], "left")

@@ -122,7 +122,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows and exact copies
     share a fingerprint, so they share a component. Rows with a null id keep a null id and count as smallest.
-    Columns other than id_col and text_col are not read.
+    Columns other than id_col and text_col are not read. An empty table gives no rows.
     """
     signed = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     by_fp = signed.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("least"))

@@ -285,7 +285,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Words are runs of other than space and U+0009 to U+000D; the text that is left has one space between words.
     Earlier means a smaller id, or the same id and an earlier start; windows are judged on the input. A null
     text has no words. A null id counts as smallest. Rows that share an id count as one document: equal places
-    in them do not remove each other. Other columns are not read.
+    in them do not remove each other. Other columns are not read. An empty table gives no rows.
     """
     ranges = repeated_ranges(docs, id_col, text_col, k, m)
     by_doc = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))

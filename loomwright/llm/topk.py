@@ -1,7 +1,6 @@
 """Exact top-k search by inner product over integer vectors.
 
-Vectors are processed by descending length. A pseudorandom part of the longest vectors gives each query a first
-k-th best score. Every other vector is compared through rotated coordinates, those of the singular vectors of a
+Vectors are processed by descending length. The longest vectors give each query a first k-th best score. Every other vector is compared through rotated coordinates, those of the singular vectors of a
 sample, in which the first few carry most of the length: the partial sum over these plus the product of the
 residual lengths is a bound (Cauchy-Schwarz), and only pairs whose bound reaches the query's k-th best
 score so far are multiplied out. The rotation only decides how much is pruned; results are exact.
@@ -33,7 +32,7 @@ def _dense(column, width: int) -> np.ndarray:
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v, norm): components floor(scale * x); without vectors that are null or hold null or non-finite components."""
+    """(vec_id, v, norm): components floor(scale * x); without vectors that are null or hold null or non-finite components, and without null ids; of an empty table none."""
     x = F.col(vector_col)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     whole = df.where(F.col(id_col).isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(False)))
