@@ -1,9 +1,9 @@
 """Toxicity: bags of subword embeddings, averaged into a linear softmax.
 
-A word is the bag of itself and its character n-grams, hashed to a fixed number of embedding rows, so that
-misspelt and inflected forms never seen in training share vectors with known ones. The embeddings of a
-segment of a few words are averaged and go through a linear softmax; a text scores as its most toxic
-segment, so that length does not dilute a slur. Embeddings and softmax are trained jointly, in numpy, on a
+A word is the bag of itself, its character n-grams and its first bytes, hashed to a fixed number of embedding rows, so that
+misspelt and inflected forms never seen in training share vectors with known ones. A text is cut into segments of a few
+words. The embeddings of its most toxic segments together are averaged and go through a linear softmax: so length does not dilute
+slurs, and one word that only looks like one counts less than several. Embeddings and softmax are trained jointly, in numpy, on a
 bounded sample of labelled rows. As everything after the lookup is linear, a trained model folds into one
 number a row, which is all that the tasks need to score every text.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow import rows, small
 
-BUCKET_BITS, DIM, SEGMENT, GRAMS = 18, 8, 8, (3, 4, 5)
+BUCKET_BITS, DIM, GRAMS, STARTS = 18, 8, (3, 4, 5), (6, 8)
+SEGMENT, TOP = 3, 3  # words of a segment, and segments that decide
 BUCKETS = 1 << BUCKET_BITS
 _EDGES = b".,;:!?\"'()[]{}<>|*%$&#-_/\\"
 _PRIME, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -33,9 +34,10 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, words): the embedding rows of the words and their n-grams of bytes, and the place in words that each belongs to.
+    """(rows, words): the embedding rows of the words, their n-grams of bytes and their starts, and the place in words that each belongs to.
 
-    A word is taken without punctuation at its ends and stands between < and >. Each has one row at least.
+    A word is taken without punctuation at its ends and stands between < and >. Each has one row at least. Starts are of
+    STARTS bytes, of words with more.
     """
     bare = [b"<" + (w.strip(_EDGES) or w) + b">" for w in words]
     size = np.fromiter(map(len, bare), np.int64, len(bare))
@@ -51,6 +53,9 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             keep = left[: len(gram)] >= n
             rows_.append((gram[keep] ^ np.uint32(n)) * _SPREAD)
             owners.append(owner[: len(gram)][keep])
+    for n in STARTS:
+        owners.append(np.flatnonzero(size > n))
+        rows_.append(np.fromiter((zlib.crc32(bare[i][:n], n) for i in owners[-1].tolist()), np.uint32, len(owners[-1])) * _SPREAD)
     return (np.concatenate(rows_) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64), np.concatenate(owners)
 
 
@@ -67,7 +72,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts, known) + self.shift, -30, 30)))
 
     def logits(self, texts: list[bytes], known: Known | None = None) -> np.ndarray:
-        """Log odds of the most toxic segment of each text; the bias for a text without words."""
+        """Log odds of the most toxic segments of each text; the bias for a text without words."""
         known = known or Known(self.weight)
         words = [tokens(t) for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
@@ -77,9 +82,11 @@ class Model:
             owner = np.repeat(np.arange(len(n)), n)
             inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             opens = np.flatnonzero(inside % SEGMENT == 0)
-            mean = np.add.reduceat(total, opens) / np.add.reduceat(count, opens)
-            first = np.flatnonzero(inside[opens] == 0)
-            out[n > 0] += np.maximum.reduceat(mean, first)
+            sums, counts, of = np.add.reduceat(total, opens), np.add.reduceat(count, opens), owner[opens]
+            order = np.lexsort((-sums / counts, of))
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            top = order[np.arange(len(of)) - np.repeat(first, np.diff([*first, len(of)])) < TOP]
+            out[n > 0] += (np.bincount(of[top], sums[top], len(n)) / np.maximum(np.bincount(of[top], counts[top], len(n)), 1))[n > 0]
         return out
 
 
@@ -108,7 +115,7 @@ def _segment_sums(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 32, rate: float = 0.5, seed: int = 7) -> Model:
-    """Joint training: first on averages of whole texts, then each step takes the currently most toxic segment of each text of a batch.
+    """Joint training: first on averages of whole texts, then each step takes the currently most toxic segments of each text of a batch.
 
     Embeddings start along the softmax's direction at the log odds of the texts that hold their row, so that a few
     toxic texts already point at the right segments.
@@ -143,8 +150,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 3
                 if epoch == 0:
                     words = d
                 else:
-                    s = int((_segment_sums(part[d]) / _segment_sums(sizes[d].astype(float))).argmax())
-                    words = d[s * SEGMENT : (s + 1) * SEGMENT]
+                    means = _segment_sums(part[d]) / _segment_sums(sizes[d].astype(float))
+                    words = np.concatenate([d[s * SEGMENT : (s + 1) * SEGMENT] for s in np.argsort(-means, kind="stable")[:TOP].tolist()])
                 rows_ = np.concatenate([flat[starts[w] : starts[w] + sizes[w]] for w in words])
                 chosen.append(rows_)
                 owner.append(len(rows_))

@@ -50,14 +50,14 @@ def test_query_shape_and_odd_rows(spark, tmp_path):
 def test_rows_of_a_word():
     rows, owner = toxicity.subwords([b"idiot", b"...", b"a"])
     assert set(owner.tolist()) == {0, 1, 2} and rows.max() < toxicity.BUCKETS
-    assert (owner == 0).sum() == 1 + 5 + 4 + 3
+    assert (owner == 0).sum() == 1 + 5 + 4 + 3 + 1  # itself, grams of 3, 4 and 5 bytes of <idiot>, and its first 6 bytes
 
 
 def plain_score(model, text):
     """One word and one segment after another, in Python numbers."""
     words = text.lower().split()
     words = [w for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
-    best = None
+    segments = []
     for lo in range(0, len(words), toxicity.SEGMENT):
         total, n = 0.0, 0
         for w in words[lo : lo + toxicity.SEGMENT]:
@@ -69,11 +69,14 @@ def plain_score(model, text):
                     for b in bare[at + 1 : at + size]:
                         h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
                     hashes.append(h ^ size)
+            hashes += [zlib.crc32(bare[:n], n) for n in toxicity.STARTS if len(bare) > n]
             for h in hashes:
                 total += float(model.weight[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - toxicity.BUCKET_BITS])
             n += len(hashes)
-        best = total / n if best is None else max(best, total / n)
-    z = model.scale * (model.bias + (best or 0.0)) + model.shift
+        segments.append((total / n, total, n))
+    top = sorted(segments, key=lambda s: -s[0])[: toxicity.TOP]
+    mean = sum(t for _, t, _ in top) / sum(n for *_, n in top) if top else 0.0
+    z = model.scale * (model.bias + mean) + model.shift
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
