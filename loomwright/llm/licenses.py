@@ -149,3 +149,22 @@ def op9(spark, sf_dir: str) -> DataFrame:
     at = F.transform("base", lambda s: s["first"])
     best = F.array_max(F.transform("spans", lambda s: 1 - s["edits"] / s["chars"]))
     return out.select(F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), labels(F.col("base")).alias("base_labels"), labels(F.col("spans")).alias("labels"), F.coalesce(best, F.lit(0.0)).alias("score"))
+
+
+def license_phrases(spark, sf_dir: str) -> DataFrame:
+    """What of op9 is exact: (doc_id, n_words, n_base, first_word, last_word, base_labels) of every document."""
+    return op9(spark, sf_dir).drop("labels", "score")
+
+
+LICENSE_PHRASES_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), p AS (
+  SELECT string_split(phrase, ' ') AS ph, label FROM (VALUES ('under the mit license', 'mit'), ('apache license version 2', 'apache-2'), ('cc by nc', 'cc-by-nc')) t(phrase, label)
+), f AS (
+  SELECT doc_id, label, unnest([i FOR i IN range(len(ws)) IF ws[i + 1] = ph[1] AND ws[i + 1:i + len(ph)] = ph]) AS place FROM d, p
+), g AS (
+  SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""

@@ -165,3 +165,25 @@ def _running_sums(docs: DataFrame, rows: int, group_rows: int = 256) -> DataFram
 def op7(spark, sf_dir: str) -> DataFrame:
     out = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).taken()
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """What of op7 no draw takes part in: (doc_id, size, source_size, target) of every document."""
+    held = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).documents
+    return held.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 3).alias("target"))
+
+
+#: With the sources by how soon they are full, the level is that at the first that is not, if all before are.
+MIX_TARGETS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM d GROUP BY source
+), o AS (
+  SELECT *, 3.0 * size / weight AS full_at, sum(size) OVER () AS whole, coalesce(sum(size) OVER before, 0) AS cut, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS free
+  FROM s WINDOW before AS (ORDER BY 3.0 * size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT coalesce(arg_min((whole - 3.0 * cut) / free, full_at) FILTER ((whole - 3.0 * cut) / free <= full_at), 0) AS unit FROM o
+)
+SELECT doc_id, d.size, s.size AS source_size, round(least(3.0 * s.size, unit * weight), 3)::DOUBLE AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, level
+"""

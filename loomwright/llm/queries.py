@@ -18,6 +18,8 @@ QUERIES = {
     "op11_vector_codes": codes.op11,
     "op12_hard_negatives": annuli.op12,
     "op13_nearest_neighbours": multiindex.op13,
+    "mix_targets": mixing.mix_targets,
+    "license_phrases": licenses.license_phrases,
 }
 
 SQL: dict[str, str] = {
@@ -29,4 +31,6 @@ SQL: dict[str, str] = {
     "op10_top_k": topk.OP10_SQL,
     "op11_vector_codes": codes.OP11_SQL,
     "op12_hard_negatives": annuli.OP12_SQL,
+    "mix_targets": mixing.MIX_TARGETS_SQL,
+    "license_phrases": licenses.LICENSE_PHRASES_SQL,
 }

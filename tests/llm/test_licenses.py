@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import duckdb
 import pyarrow as pa
 import pytest
 
@@ -79,3 +80,10 @@ def test_long_texts_take_linear_time(text):
     spans = out[0].column("spans").to_pylist()[0]
     if text.startswith("under the mit"):
         assert [s["first"] for s in spans if s["base"]] == list(range(0, 4 * 150_000, 4))
+
+
+def test_phrases_against_sql(spark):
+    duckdb.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    want = sorted(duckdb.sql(f"SELECT {', '.join(cols)} FROM ({licenses.LICENSE_PHRASES_SQL})").fetchall())
+    assert sorted(map(tuple, licenses.license_phrases(spark, "/root/testdata/sf0.01").select(cols).collect())) == want and sum(r[2] for r in want) > 0

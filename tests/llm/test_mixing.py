@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 
 from loomwright.llm import mixing
@@ -122,3 +123,13 @@ def test_texts_of_repeated_rows(spark):
     mix = mixing.Mix(docs, block_words=4)
     words = Counter(w for r in mix.texts(docs).collect() for w in r.text.split())
     assert sum(words.values()) == sum(r.taken for r in mix.taken().collect()) == 30 and words["a"] == 6 and words["g"] == 2
+
+
+def test_targets_against_sql(spark, tmp_path):
+    rows = [(i, "w " * (i % 50), None if i % 9 == 0 else f"s{(i * i) % 40}") for i in range(300)] + [(None, None, "s1"), (5, "x", "only")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in ("/root/testdata/sf0.01", str(tmp_path)):
+        where = f"{folder}/documents.parquet" + ("/*.parquet" if folder == str(tmp_path) else "")
+        duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{where}'")
+        want = duckdb.sql(f"SELECT doc_id, size, source_size, target FROM ({mixing.MIX_TARGETS_SQL})").fetchall()
+        assert sorted(map(tuple, mixing.mix_targets(spark, folder).collect()), key=str) == sorted(want, key=str) and want
